@@ -119,3 +119,12 @@ def running(df: DataFrame, key: str, order: list[str], weight: str, out: str, bu
     local = rows.withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     joined = local.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col(b) == F.col("_b")), "left")
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(b, base, "_key", "_b")
+
+
+def worker_store() -> dict:
+    """A dictionary that lives as long as this Python process: what one task has loaded serves the next."""
+    import sys
+    import types
+
+    name = "_epochlake_worker_store"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
