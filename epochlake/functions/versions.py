@@ -38,7 +38,7 @@ def display(c: ColumnOrName) -> Column:
     """The unsigned value of a long as decimal(20,0)."""
     c = _col(c)
     wide = c.cast("decimal(20,0)")
-    return F.when(c < 0, (wide + F.lit(1 << 64).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(wide)
+    return F.when(c < 0, (wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(wide)
 
 
 def u64_bytes(c: ColumnOrName) -> Column:

@@ -1,0 +1,41 @@
+from pyspark.sql import functions as F
+
+from epochlake.operators import changelog
+from epochlake.streaming.replica import Replica, stream_latest, stream_log
+from tests.logs import begin, change_log, durable_file, pairs, put
+
+
+def test_replica(spark, tmp_path):
+    log = change_log(spark, [(0, e, "put", e % 2, f"k{e % 3}", f"{e}", (e, 0)) for e in range(1, 9)] + [(0, 4, "truncate", 1, None, None, (4, 0)), (0, 7, "del", 0, "k0", None, (7, 0))])
+    replica = Replica(spark, str(tmp_path / "r"))
+    assert replica.committed() == 0 and replica.read() is None
+    replica.apply(log.filter("snippet_epoch <= 3"), 0)
+    replica.apply(log.filter("snippet_epoch in (4, 6)"), 1)
+    replica.apply(log.filter("snippet_epoch in (5, 7, 8)"), 2)
+    replica.apply(log.filter("snippet_epoch in (5, 7, 8)"), 2)  # again, after a failure
+    assert not replica.read().collect()
+    for e in (3, 5, 5, 4, 8):
+        replica.commit(e)
+        assert pairs(replica.read()) == pairs(changelog.snapshot(log, max(e, replica.committed())))
+    assert pairs(replica.read(5)) == pairs(changelog.snapshot(log, 5))
+    assert replica.compact() == 8 and pairs(replica.read()) == pairs(changelog.snapshot(log, 8))
+    later = change_log(spark, [(0, 9, "put", 1, "k1", "new", (9, 0)), (0, 9, "del", 0, "k2", None, (9, 0))])
+    replica.apply(later, 3)
+    replica.commit(9)
+    assert pairs(replica.read()) == pairs(changelog.snapshot(log.unionByName(later), 9))
+
+
+def test_streams(spark, tmp_path):
+    logs = tmp_path / "log"
+    logs.mkdir()
+    (logs / "epoch").write_bytes(durable_file(2))
+    (logs / "pwal_0000.1").write_bytes(begin(1) + put(b"a", b"1", 1, 1) + put(b"b", b"1", 1, 1))
+    (logs / "pwal_0001.1").write_bytes(begin(2) + put(b"a", b"2", 1, 2) + begin(3) + put(b"c", b"3", 1, 3))
+    changes = stream_log(spark, str(logs), 2)
+    replica = Replica(spark, str(tmp_path / "r"))
+    replica.start(changes, str(tmp_path / "c")).awaitTermination()
+    replica.commit(2)
+    assert pairs(replica.read()) == {"1/a": "2", "1/b": "1"}
+    q = stream_latest(changes.filter(F.col("snippet_state") == "valid")).writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert pairs(spark.table("newest")) == {"1/a": "2", "1/b": "1"}
