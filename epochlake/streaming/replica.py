@@ -18,7 +18,7 @@ from ..sources.wal import decode
 def stream_log(spark: SparkSession, path: str, durable: int) -> DataFrame:
     """change_log of the log files of a directory as a stream: files that appear are read once, whole; rotate, then let them
     appear. Nondurable entries come with that state."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", f"{WAL_PREFIX}*").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", f"{WAL_PREFIX}*").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,7 +5,7 @@ import pytest
 from epochlake.operators import blobs, changelog
 from epochlake.plans import maintenance
 from epochlake.sources.directory import BadDirectory, Catalog, Manifest, catalog_rows, manifests, set_up
-from epochlake.sources.wal import durable_epoch, read_log, register
+from epochlake.sources.wal import append_durable, durable_epoch, read_log, register
 from epochlake.sources.wal_format import DamagedLog
 from tests.logs import FILES, begin, change_log, durable_file, end, pairs, put
 
@@ -48,7 +48,7 @@ def test_data_source_pushes_the_epoch_down(spark, directory):
     df = spark.read.format("epochlog").load(path)
     assert df.count() == 4
     low = df.filter("snippet_epoch <= 241")
-    assert low.count() == 2 and "Filter" not in low._jdf.queryExecution().executedPlan().toString().replace("PythonDataSource", "")
+    assert low.count() == 2 and "241" not in low._jdf.queryExecution().executedPlan().toString()
     assert spark.read.format("epochlog").option("onNondurable", "skip").load(path).count() == 3
     assert spark.read.format("epochlog").load(directory()).count() == 0
 
@@ -109,6 +109,7 @@ def test_compact_online(spark, directory):
     assert maintenance.compact_online(spark, path, 2, now=1)
     assert live() == {"a": "1", "b": "1"}
     open(os.path.join(path, "pwal_0000"), "wb").write(begin(3) + put(b"a", b"2", major=3))
+    append_durable(path, 3)
     assert live() == {"a": "2", "b": "1"}
     assert maintenance.compact_online(spark, path, 4, now=2) and live() == {"a": "2", "b": "1"}
     assert not maintenance.compact_online(spark, path, 5, now=3)
@@ -164,11 +165,10 @@ def test_blob_files_and_tags(spark, tmp_path):
         p.parent.mkdir(exist_ok=True)
         p.write_bytes(b"x")
     (tmp_path / "dir_07" / "notes.txt").write_bytes(b"x")
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path")
-    found = blobs.blob_files(listing)
-    assert sorted(r.blob_id for r in found.collect()) == [7, 8, 107]
+    found = lambda: blobs.blob_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path"))
+    assert sorted(r.blob_id for r in found().collect()) == [7, 8, 107]
     maintenance.delete_blobs(spark.createDataFrame([(8,), (9,)], "blob_id long"), str(tmp_path))
-    assert sorted(r.blob_id for r in blobs.blob_files(listing).collect()) == [7, 107]
+    assert sorted(r.blob_id for r in found().collect()) == [7, 107]
     tags = maintenance.EpochTags()
     tags.register("before", 5, "c")
     assert tags.find("before") == 5 and tags.find("none") is None and tags.table(spark).count() == 1
