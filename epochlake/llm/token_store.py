@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -22,7 +21,7 @@ from .common import shared_dir, slices, worker_store
 #: Ids in a segment, at least; a segment ends with the document that reaches this number.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_400_000
 MAGIC = b"EFTOK\x01"
 
 
@@ -117,13 +116,12 @@ class Segment:
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them without special tokens added.
 
-    Byte-level tokenizers cut a text before any space that follows no other white space, and encode what lies between
-    independently; such pieces are encoded once and remembered. Other tokenizers encode each text whole.
+    Byte-level tokenizers cut a text before any space that has no other white space beside it, and encode what lies between
+    independently; such pieces are encoded once and remembered. New pieces are encoded as one text, whose ids are dealt to the
+    pieces by the bytes that each id stands for. Texts with a space beside other white space, and all texts under other
+    tokenizers, are encoded whole.
     """
 
-    #: A space beside other white space: such texts are encoded whole.
-    UNSURE = re.compile(r" \s|\s ")
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -131,50 +129,73 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.piecewise = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec.get("added_tokens", []))
-        marks = [t for t in spec.get("added_tokens", []) if t.get("special")]
-        self.mark = (marks[0]["content"], marks[0]["id"]) if marks else None
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        added = {t["id"]: t for t in spec.get("added_tokens", [])}
+        self.piecewise = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in added.values())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        # a character of a byte-level token stands for a byte
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token.encode()) if i in added else len(token)
+        self.inner: dict[str, bytes | None] = {}  # ids of pieces after a space; None: white space at an end
+        self.outer: dict[str, bytes] = {}  # ids of pieces as they are
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, many in one text where a special token can part them."""
-        if not self.mark:
-            self.known.update(zip(pieces, self._encode(pieces), strict=True))
-            return
-        mark, number = self.mark
-        plain = [p for p in pieces if mark not in p]
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-            cut = np.flatnonzero(ids == number)
-            data = ids.tobytes()
-            a, b = [0, *((cut + 1) * self.width).tolist()], [*(cut * self.width).tolist(), len(data)]
-            self.known.update(zip(part, [data[x:y] for x, y in zip(a, b, strict=True)], strict=True))
-        if len(plain) < len(pieces):
-            odd = [p for p in pieces if mark in p]
-            self.known.update(zip(odd, self._encode(odd), strict=True))
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each start with a space and have no other white space at an end."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 20_000):
+            part = pieces[k : k + 20_000]
+            joined = "".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            bounds = np.cumsum(np.fromiter((len(p.encode("utf-8", "replace")) for p in part), np.int64, len(part)))
+            reached = np.cumsum(self.lengths[ids])
+            at = np.searchsorted(reached, bounds)
+            if not len(ids) or at[-1] != len(ids) - 1 or (reached[np.minimum(at, len(ids) - 1)] != bounds).any():
+                out += self._encode(part)  # a vocabulary whose tokens don't say how many bytes they are
+                continue
+            data, ends = ids.tobytes(), ((at + 1) * self.width).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _learn(self, seen: set[str], firsts: list[str]) -> None:
+        new = [p for p in seen if p not in self.inner]
+        if len(self.inner) + len(new) > CACHE_PIECES:
+            self.inner.clear()
+            new = list(seen)
+        clean = []
+        for p in new:
+            if not p or p[0].isspace() or p[-1].isspace():
+                self.inner[p] = None
+            else:
+                clean.append(p)
+        self.inner.update(zip(clean, self._encode_pieces([" " + p for p in clean]), strict=True))
+        if len(self.outer) + len(firsts) > CACHE_PIECES // 8:
+            self.outer.clear()
+        fresh = list({p for p in firsts if p not in self.outer})
+        self.outer.update(zip(fresh, self._encode(fresh), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.piecewise or self.UNSURE.search(t) is not None for t in texts]
-        parts = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        # all but a text's first piece stand after a space
-        seen = set(chain.from_iterable(p[1:] for p in parts if p))
-        pieces = {" " + p for p in seen}
-        pieces.update(p[0] for p in parts if p)
-        new = pieces - self.known.keys()
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = pieces
-        if new:
-            self._learn(list(new))
-        inner = {p: self.known[" " + p] for p in seen}
-        encoded = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(encoded) if p is None else self.known[p[0]] + b"".join(map(inner.__getitem__, p[1:])) for p in parts]
+        if not self.piecewise:
+            return self._encode(texts)
+        rest = [t.split(" ") for t in texts]
+        firsts = [p.pop(0) for p in rest]
+        # white space at the end of a text is beside no space, unless it is all that the last piece has
+        lasts = [" " + p.pop() if p and p[-1][-1:].isspace() and not p[-1][0].isspace() else "" for p in rest]
+        self._learn(set(chain.from_iterable(rest)), firsts + lasts)
+        out: list[bytes | None] = []
+        for first, words, last in zip(firsts, rest, lasts, strict=True):
+            try:
+                if (words or last) and first[-1:].isspace():
+                    raise TypeError
+                out.append(self.outer[first] + b"".join(map(self.inner.__getitem__, words)) + self.outer[last])
+            except TypeError:  # a None among the pieces
+                out.append(None)
+        whole = iter(self._encode([t for t, x in zip(texts, out, strict=True) if x is None]))
+        return [next(whole) if x is None else x for x in out]
 
 
 def encoder(path: str) -> Encoder:
