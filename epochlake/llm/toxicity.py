@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
@@ -37,8 +38,8 @@ def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the character runs of words with their bounds, how many each word has, and which of RUNS each run's length is."""
     joined = np.frombuffer(b"".join(b"<" + w + b">" for w in words), dtype=np.uint8).astype(np.uint64)
     lengths = np.array([len(w) + 2 for w in words])
-    word = np.repeat(np.arange(len(words)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(joined))  # bytes of the word from here on
+    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    left = (np.repeat(np.cumsum(lengths), lengths) - np.arange(len(joined))).astype(np.int32)  # bytes of the word from here on
     hashes, owners, kinds = [], [], []
     h = np.zeros(len(joined), dtype=np.uint64)
     for n in range(1, max(RUNS) + 1):
@@ -48,7 +49,7 @@ def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = (h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
             hashes.append(x ^ (x >> np.uint64(32)))
             owners.append(word[at])
-            kinds.append(np.full(len(at), RUNS.index(n)))
+            kinds.append(np.full(len(at), RUNS.index(n), dtype=np.int8))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return np.concatenate(hashes)[order], np.bincount(owner, minlength=len(words)), np.concatenate(kinds)[order]
@@ -181,6 +182,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
     run_starts = np.cumsum(run_counts) - run_counts
     word_keys = np.array([xxhash.xxh64_intdigest(w) for w in types], dtype=np.uint64)
     run_ids, run_of = np.unique(runs, return_inverse=True)
+    run_of = run_of.astype(np.int32)
+    del runs
     fold = rng.permutation(len(docs)) % 2
     held = []
     for own in map(np.unique, docs):
@@ -371,7 +374,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> dict:
     """The model for docs(doc_id, text), from labels(doc_id, toxic) of rows that aren't held out.
 
-    The sample is bounded: TRAIN_TOXIC and TRAIN_CLEAN documents, those whose ids hash lowest, of texts of at most TRAIN_BYTES
+    The fit is one task's work. Its sample is bounded: TRAIN_TOXIC and TRAIN_CLEAN documents, those whose ids hash lowest, of texts of at most TRAIN_BYTES
     bytes. An id with both labels counts as toxic; null labels, ids and texts are left out.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -380,9 +383,16 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> dict:
     usable = texts.select("doc_id").distinct().join(named, "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = usable.filter("toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [r.toxic for r in rows], seed)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        model = fit([text for _, text, _ in sample], [toxic for _, _, toxic in sample], seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # one task has the bounded sample, so that the driver needs no memory for the fit
+    found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit([], [], seed)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
