@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -186,7 +186,12 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     """
     found = persist(fingerprints(docs, shingle))
     nodes = persist(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(fingerprint_links(nodes.select("fp"), radius, blocks))
+    return label_groups(found, nodes, fingerprint_links(nodes.select("fp"), radius, blocks))
+
+
+def label_groups(found: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """found(doc_id, fp) with component_id: the smallest `least` of nodes(fp, least) that chains of links(a, b) of fps reach."""
+    linked = components(links)
     classes = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(least, "component").select("fp", "component_id")
@@ -194,12 +199,16 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, one of each group of near-duplicates: that with the smallest doc_id. All columns are kept.
+    """The rows of docs, one of each group of near-duplicates: that with the smallest doc_id. All columns are kept; see group_heads."""
+    return group_heads(docs, simhash_groups(docs, shingle, radius), lambda rows: with_fingerprint(rows, shingle), "_simhash")
+
+
+def group_heads(docs: DataFrame, groups: DataFrame, marked: Callable[[DataFrame], DataFrame], mark: str) -> DataFrame:
+    """The rows of docs that head a group of groups(doc_id, fp, component_id); marked adds a row's fp as the column `mark`.
 
     Where that id is repeated inside the group, the row with the smallest fingerprint, then text, stays. Rows without a doc_id
     can't be told apart and all stay; so do, of a repeated doc_id, rows of other groups that it heads.
     """
-    groups = simhash_groups(docs, shingle, radius)
     heads = groups.groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
     each = Window.partitionBy("doc_id")
     heads = persist(heads.filter("doc_id is not null").withColumn("n", F.sum("n").over(each)).filter("doc_id = component_id"))
@@ -209,10 +218,10 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     if odd.isEmpty():
         return kept
     rows = docs.join(odd.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi")
-    by_text = with_fingerprint(rows, shingle)
+    by_text = marked(rows)
     first = Window.partitionBy("doc_id").orderBy("text")
-    picked = by_text.join(odd, (by_text["doc_id"] == F.col("_id")) & (by_text["_simhash"] == F.col("_fp")), "left_semi")
-    return kept.unionByName(picked.drop("_simhash").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth"))
+    picked = by_text.join(odd, (by_text["doc_id"] == F.col("_id")) & (by_text[mark] == F.col("_fp")), "left_semi")
+    return kept.unionByName(picked.drop(mark).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth"))
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
