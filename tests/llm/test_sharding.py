@@ -57,3 +57,54 @@ def test_rows_keep_their_columns(spark):
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(i, "same", None) for i in range(n)], SCHEMA)
     assert len(s.assign(df).collect()) == n
+
+
+def cut(rows):
+    """Links to the first of its group that a row has in another shard than most of the group."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.text_crc32, []).append(r["shard"])
+    return sum(len(v) - max(Counter(v).values()) for v in groups.values() if len(v) < 50)
+
+
+@pytest.mark.parametrize("hot", [0, 800])
+def test_groups_stay_together_if_every_text_has_copies(spark, hot):
+    rows = [(i, f"text {i // 2}", "") for i in range(2400 - hot)] + [(5000 + i, "hot", "") for i in range(hot)]
+    got = s.assign(spark.createDataFrame(rows, SCHEMA)).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == 2400 and set(counts.values()) == {100} and cut(got) == 0
+    assert len({r["shard"] for r in got if r.doc_id >= 5000}) == hot // 100
+
+
+def test_packing_is_even_and_splits_few_groups():
+    r = random.Random(3)
+    for _ in range(300):
+        counts = {n: r.randrange(1, 40) for n in r.sample(range(1, 30), r.randrange(1, 6))} | ({r.randrange(100, 900): 1} if r.random() < 0.5 else {})
+        held, seen, whole = Counter(), Counter(), Counter()
+        for n, first, end, shard, start, until in s.pack(counts, 8):
+            assert 0 <= first < end <= counts[n] and 0 <= start < until <= n
+            held[shard] += (end - first) * (until - start)
+            seen[n] += (end - first) * (until - start)
+            whole[n] += (end - first) * (until - start == n)
+        assert seen == {n: n * c for n, c in counts.items()}
+        sizes = [held[k] for k in range(8)]
+        assert max(sizes) - min(sizes) <= 1
+        assert sum(c - whole[n] for n, c in counts.items() if n <= max(sizes)) <= 8
+
+
+def test_linked_nodes_change_places():
+    grant = s.exchange({(0, 1): 5, (1, 0): 3, (1, 2): 2, (2, 0): 4}, [0, 0, 0])
+    assert sum(grant.values()) == 10 or grant[0, 1] == grant[1, 0] + grant[1, 2]
+    assert s.exchange({(0, 1): 5, (2, 0): 4}, [0, 2, 0]) == {(0, 1): 2, (2, 0): 2}
+    assert s.exchange({(0, 1): 5}, [0, 0]) == {}
+
+
+def test_propagation_swaps_nodes_that_all_have_links(spark):
+    r = random.Random(8)
+    nodes = list(range(480))
+    r.shuffle(nodes)
+    pairs = list(zip(nodes[::2], nodes[1::2], strict=True))
+    got = s.propagate(spark.range(480).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "a long, b long"), 6, 4).collect()
+    where = {x.node: x["shard"] for x in got}
+    assert Counter(where.values()) == {k: 80 for k in range(6)}
+    assert sum(where[a] == where[b] for a, b in pairs) >= 0.8 * len(pairs)
