@@ -117,7 +117,14 @@ def blocks_of(html: str) -> list[Block]:
             continue
         m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
         if not m:
-            if lt + 1 < end and (html[lt + 1].isalpha() or html[lt + 1] == "/"):
+            if html.startswith("</", lt) and lt + 2 < end and not ("a" <= html[lt + 2].lower() <= "z"):
+                # an end tag without a name: left out, or read as a comment, up to the next '>'
+                close = html.find(">", lt + 2)
+                if close < 0:
+                    break
+                at = close + 1
+                continue
+            if lt + 1 < end and ("a" <= html[lt + 1].lower() <= "z" or html[lt + 1] == "/"):
                 break  # a tag that the end of the page cuts off
             text("<")
             at = lt + 1

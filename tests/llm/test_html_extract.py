@@ -42,6 +42,15 @@ def test_smoothness_keeps_a_short_block_with_its_neighbours():
     assert h.extract(page).count("\n") == 2
 
 
+@pytest.mark.parametrize("odd", ["</>", "</ div>", "</3 you>", "</é>", "</\n>"])
+def test_text_after_a_nameless_end_tag_survives(odd):
+    first, second = ("The %s paragraph of a story that is long enough to be read as content, with a full stop." % w for w in ("first", "second"))
+    assert h.extract(f"<p>{first}{odd}</p><p>{second}</p>") == f"{first}\n{second}"
+    # up to the next '>', as browsers read it
+    assert h.extract(f"<p>{first} I </3 you</p><p>{second}</p>") == f"{first} I\n{second}"
+    assert h.extract(f"<p>{first}</3 you") == first
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 2), (None, None, None, 3), (2, "", "", 4), (3, "x", "<p>" + "word " * 200_000, 5)]
     got = h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
