@@ -35,15 +35,17 @@ BAD_NAMES = frozenset(
 )
 GOOD_NAMES = frozenset("article articlebody content entry post story main maincontent body text prose".split())
 _NOTICE = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bsubscribe\b|\badvertisement\b|\bsponsored\b|\bsign (?:in|up)\b|\blog ?in\b", re.I)
+#: A form that frames the page's content costs nothing: it holds an article or main, or most of the page's prose, of so many characters a block.
+PROSE_CHARS, LONG_PROSE_CHARS = 80, 400
 #: Smoothness: what it costs to label neighbours differently.
 NEXT_COST, PARENT_COST, GRAND_COST = 0.8, 0.9, 0.3
 
 
 class Block:
-    __slots__ = ("cost", "linked", "parent", "grand", "text")
+    __slots__ = ("cost", "linked", "parent", "grand", "text", "form")
 
-    def __init__(self, text: str, linked: int, cost: float, parent: int, grand: int) -> None:
-        self.text, self.linked, self.cost, self.parent, self.grand = text, linked, cost, parent, grand
+    def __init__(self, text: str, linked: int, cost: float, parent: int, grand: int, form: int = 0) -> None:
+        self.text, self.linked, self.cost, self.parent, self.grand, self.form = text, linked, cost, parent, grand, form
 
 
 def _names_cost(tag: str, attrs: str, inside: bool) -> float:
@@ -67,9 +69,28 @@ def _names_cost(tag: str, attrs: str, inside: bool) -> float:
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks of text in order, with what their place in the page costs. Never fails: broken markup is read as browsers do, near enough."""
+    out, frames = _read(html, frozenset())
+    frames |= _framing(out)
+    return _read(html, frozenset(frames))[0] if frames else out
+
+
+def _framing(blocks: list[Block]) -> set[int]:
+    """Forms whose prose is the larger part of the page's: two blocks or more, or a very long one, as in pages that are one form."""
+    prose: dict[int, list[int]] = {}
+    for b in blocks:
+        n = len(b.text)
+        if n >= PROSE_CHARS and 2 * b.linked < n and b.cost - (TAG_COST["form"] if b.form else 0.0) <= 2 and not (n < 300 and _NOTICE.search(b.text)):
+            prose.setdefault(b.form, []).append(n)
+    total = sum(map(sum, prose.values()))
+    return {f for f, n in prose.items() if f and 2 * sum(n) > total and (len(n) > 1 or n[0] >= LONG_PROSE_CHARS)}
+
+
+def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
+    """The blocks, forms numbered `free` costing nothing, and the numbers of the forms that hold an article or main."""
     out: list[Block] = []
-    # open elements: tag, number, cost from the root to here, whether dropped, whether inside an article
-    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
+    frames: set[int] = set()
+    # open elements: tag, number, cost from the root to here, whether dropped, whether inside an article, number of the form around
+    stack: list[tuple[str, int, float, bool, bool, int]] = [("", 0, 0.0, False, False, 0)]
     count, links, at, end = 0, 0, 0, len(html)
     parts: list[str] = []
     linked: list[str] = []
@@ -85,7 +106,7 @@ def blocks_of(html: str) -> list[Block]:
             # the parent is the element around the block's own
             own = stack[top - 1][1] if top else 0
             grand = stack[top - 2][1] if top > 1 else 0
-            out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), stack[-1][2], own, grand))
+            out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), stack[-1][2], own, grand, stack[-1][5]))
         parts.clear()
         linked.clear()
 
@@ -182,9 +203,13 @@ def blocks_of(html: str) -> list[Block]:
                 gt = html.find(">", close.end())
                 at = end if gt < 0 else gt + 1
             continue
-        _, _, cost, dropped, inside = stack[-1]
+        _, _, cost, dropped, inside, form = stack[-1]
         attrs = m[3]
-        if tag in TAG_COST:
+        count += 1
+        if tag == "form":
+            form = count
+            cost += 0.0 if form in free else TAG_COST[tag]
+        elif tag in TAG_COST:
             cost += TAG_COST[tag]
         elif tag == "header":
             cost += 0.0 if inside else HEADER_COST
@@ -192,11 +217,12 @@ def blocks_of(html: str) -> list[Block]:
             cost += _names_cost(tag, attrs, inside)
             if _HIDDEN.search(attrs):
                 cost += HIDDEN_COST
-        count += 1
+        if tag in ("article", "main"):
+            frames |= {s[5] for s in stack if s[5]}
         links += tag == "a"
-        stack.append((tag, count, max(-4.0, min(20.0, cost)), dropped or tag in _DROPPED, inside or tag in ("article", "main")))
+        stack.append((tag, count, max(-4.0, min(20.0, cost)), dropped or tag in _DROPPED, inside or tag in ("article", "main"), form))
     flush()
-    return out
+    return out, frames
 
 
 def classifier_cost(block: Block) -> float:

@@ -51,6 +51,21 @@ def test_text_after_a_nameless_end_tag_survives(odd):
     assert h.extract(f"<p>{first}</3 you") == first
 
 
+STORY = ["The %s paragraph of a story that is told here at some length, so that it reads as content and ends as such." % w for w in ("first", "second", "third")]
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main>%s</main>", '<div id="content">%s</div>', "<div>%s</div>"])
+def test_a_form_around_the_page_keeps_its_content(around):
+    rest = '<nav><a href=1>Home</a> <a href=2>News</a></nav>%s<div class="sidebar"><p>Another story that is long and looks like text, but sits in a sidebar.</p></div><input name=q>'
+    page = f'<body><form method="post" id="aspnetForm">{rest % (around % "".join(f"<p>{t}</p>" for t in STORY))}</form><footer><p>Some company or other.</p></footer></body>'
+    assert h.extract(page) == "\n".join(STORY)
+
+
+def test_a_form_beside_the_content_is_left_out():
+    lead = "<form><h3>Stay in touch</h3>" + "<p>Fill in this form and one of our many friendly advisers is going to call you back as soon as they can.</p>" * 2 + "<input name=q></form>"
+    assert h.extract(f"<body><div>{''.join(f'<p>{t}</p>' for t in STORY)}</div>{lead}</body>") == "\n".join(STORY)
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 2), (None, None, None, 3), (2, "", "", 4), (3, "x", "<p>" + "word " * 200_000, 5)]
     got = h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
