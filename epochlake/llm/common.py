@@ -38,6 +38,19 @@ def persist(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have, without regard to case, one for each stem."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, n = stem, 0
+        while name.lower() in taken:
+            n += 1
+            name = f"{stem}_{n}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about `most` bytes of the column, one row at least."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_extract, mixing, passages, sharding, simhash, token_store, toxicity
+from . import decontaminate, embeddings, html_extract, licenses, mixing, passages, sharding, simhash, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents are files named by their ids, in a directory for each language of each source
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+    return found.select("doc_id", "path", "license", F.round("score", 6).alias("score"), "first_word", "n_words", "licenses", "is_license_file", "inherited", "inherited_from")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
