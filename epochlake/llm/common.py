@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 #: Bytes of text that a Python worker holds as word lists at once.
 SLICE_BYTES = 2 << 20
 #: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -134,10 +134,20 @@ def running(df: DataFrame, key: str, order: list[str], weight: str, out: str, bu
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(b, base, "_key", "_b")
 
 
-def worker_store() -> dict:
-    """A dictionary that lives as long as this Python process: what one task has loaded serves the next."""
-    import sys
-    import types
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python process gives back the memory that the task took, as it lives on for later stages."""
 
-    name = "_epochlake_worker_store"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied

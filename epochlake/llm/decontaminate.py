@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, shingle_hashes, slices, texts_of
+from .common import CACHE_WORDS, shingle_hashes, slices, texts_of, tidy
 
 #: Words in a shingle, least share of an item's shingles that a document must hold, and hash functions.
 SHINGLE, CONTAINMENT, HASHES = 5, 0.8, 48
@@ -197,7 +197,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = CO
                         ["doc_id", "item_id", "n_shingles", "n_found", "containment"],
                     )
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(tidy(run), schema)
         result = found if result is None else result.unionByName(found)
     return result
 
@@ -214,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = CONT
                 clean[[t for t, _, _ in search(texts_of(part, "text"), index, cache)]] = False
                 yield part if clean.all() else part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs
 
 

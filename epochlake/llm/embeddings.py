@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist
+from .common import persist, tidy
 from .graph import components
 
 #: Least cosine of a link, sign bits of a table's code, and probability that all tables miss a link of exactly this cosine.
@@ -131,7 +131,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
             codes = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables, dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "codes"])
 
-    hashed = persist(distinct.select("label", "embedding", "cid", "n").mapInArrow(coded, f"label {kind['label']}, embedding {kind['embedding']}, cid long, n long, codes array<int>"))
+    hashed = persist(distinct.select("label", "embedding", "cid", "n").mapInArrow(tidy(coded), f"label {kind['label']}, embedding {kind['embedding']}, cid long, n long, codes array<int>"))
     keyed = hashed.select("label", F.size("embedding").alias("dim"), "cid", "n", "embedding", "codes", F.posexplode("codes").alias("table", "code"))
     key = ["label", "dim", "table", "code"]
     hot = keyed.groupBy(*key).agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK_ROWS).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).drop("rows")
@@ -193,7 +193,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
         if held:
             yield from found(pa.Table.from_batches(held).combine_chunks())
 
-    out = persist(dealt.mapInArrow(run, "a long, b long, links long"))
+    out = persist(dealt.mapInArrow(tidy(run), "a long, b long, links long"))
     counts = out.filter("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     linked = components(out.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     known = hashed.select("label", F.xxhash64("embedding").alias("h"), F.col("embedding").alias("e"), "cid", "n").join(counts, "cid", "left").join(linked, "cid", "left")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, persist, slices, texts_of
+from .common import fresh, persist, slices, texts_of, tidy
 from .license_texts import templates
 
 #: Least cosine of a match, and share of a file's words that its notices cover if the file is a licence file by its text.
@@ -137,7 +137,7 @@ def notices(files: DataFrame, texts: list[tuple[str, str]] | None = None, least:
             columns = [pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(covered, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *columns], [*names, *added])
 
-    return files.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return files.withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def inherited(files: DataFrame) -> DataFrame:

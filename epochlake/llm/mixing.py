@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import persist, running
+from .common import persist, running, tidy
 
 #: Words in a block, slots in an output shard, weights of the sources in order, share of all words, times that a word may be taken.
 BLOCK, SHARD_SLOTS, WEIGHTS, SHARE, MOST = 64, 65_536, (3, 1, 2), 1.5, 2
@@ -135,7 +135,7 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     named = sources.select(F.col("source").alias("_source"), "source_id")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     spread = plan.repartition(max(1, min(200, len(quotas) * 4)), "shard", "source_id")
-    return persist(placed), sources, spread.mapInArrow(slots, "shard int, source_id int, slot long, block long")
+    return persist(placed), sources, spread.mapInArrow(tidy(slots), "shard int, source_id int, slot long, block long")
 
 
 def taken_pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -208,4 +208,4 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, wei
                 columns[names.index("n_chars")] = pa.array([len(t) for t in texts], rows.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return flat.mapInArrow(run, schema)
+    return flat.mapInArrow(tidy(run), schema)

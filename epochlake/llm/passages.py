@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, mix64, persist, shingle_hashes, slices, texts_of
+from .common import WordHashes, mix64, persist, shingle_hashes, slices, texts_of, tidy
 from .pairs import paired_texts
 
 #: Words of a passage, words in a shingle, least similarity, and hash functions.
@@ -167,7 +167,7 @@ def shared_windows(texts: DataFrame, passage: int, shingle: int, hashes: int) ->
                     hot_key, hot_text, hot_place = merged[by], np.concatenate([hot_text, ids[of]])[by], np.concatenate([hot_place, place[of]])[by]
 
     names = ["key", "second", "text", "place", "other", "other_place"]
-    rows = texts.select("key", F.col("text").cast("string").alias("text")).mapInArrow(windows, "key long, second long, text long, place long, other long, other_place long")
+    rows = texts.select("key", F.col("text").cast("string").alias("text")).mapInArrow(tidy(windows), "key long, second long, text long, place long, other long, other_place long")
     # what is paired already needs no meeting with others; it is dealt by the text
     dealt = F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("text"))
     rows = rows.withColumn("key", dealt).repartition("key").sortWithinPartitions("key", "text", "place")
@@ -206,7 +206,7 @@ def shared_windows(texts: DataFrame, passage: int, shingle: int, hashes: int) ->
                 if found:
                     yield found
 
-    return rows.mapInArrow(pairs, "a long, b long, shift long")
+    return rows.mapInArrow(tidy(pairs), "a long, b long, shift long")
 
 
 def _distinct_counts(place: np.ndarray, before: np.ndarray, span: int, runs: int) -> np.ndarray:
@@ -306,7 +306,7 @@ def verified_spans(texts: DataFrame, pairs: DataFrame, passage: int, shingle: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["text", "start", "end", "other"])
 
     both = paired_texts(texts, pairs)
-    return both.select("a", "b", "shifts", "text_a", "text_b").mapInArrow(run, "text long, start long, end long, other long")
+    return both.select("a", "b", "shifts", "text_a", "text_b").mapInArrow(tidy(run), "text long, start long, end long, other long")
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shingle: int = SHINGLE, similarity: float = SIMILARITY, hashes: int = HASHES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import persist, slices, texts_of
+from .common import persist, slices, texts_of, tidy
 from .graph import components
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(texts_of(part, "text"), shingle).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -173,7 +173,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
         if held:
             yield from flush(np.concatenate(held))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -232,4 +232,4 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints_of(texts_of(part, "text"), shingle).view(np.int64))], [*part.schema.names, "_simhash"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -8,6 +8,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, slices, worker_store
+from .common import shared_dir, slices, tidy
 
 #: Ids in a segment, at least; a segment ends with the document that reaches this number.
 SEGMENT_IDS = 1 << 20
@@ -198,14 +199,13 @@ class Encoder:
         return [next(whole) if x is None else x for x in out]
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    store = worker_store()
-    if ("encoder", path) not in store:
-        import os
+    """The encoder of a tokenizer file, loaded once by a Python process."""
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        store["encoder", path] = Encoder(path)
-    return store["encoder", path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
@@ -246,7 +246,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 2, segm
         if ids:
             yield segment()
 
-    found = ordered.mapInArrow(run, "part int, seq long, n_docs long, n_ids long, doc_ids array<long>, payload binary")
+    found = ordered.mapInArrow(tidy(run), "part int, seq long, n_docs long, n_ids long, doc_ids array<long>, payload binary")
     found.write.option("compression", "zstd").parquet(to)
 
 
@@ -277,7 +277,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "begin", "n_tokens", "ids_crc32", "part", "seq", "nth"],
                 )
 
-    docs = segments.select("part", "seq", "doc_ids", "payload").mapInArrow(run, "doc_id long, begin long, n_tokens long, ids_crc32 long, part int, seq long, nth long")
+    docs = segments.select("part", "seq", "doc_ids", "payload").mapInArrow(tidy(run), "doc_id long, begin long, n_tokens long, ids_crc32 long, part int, seq long, nth long")
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("begin") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "part", "seq", "nth")
 
 

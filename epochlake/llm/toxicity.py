@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of, worker_store
+from .common import fresh, slices, texts_of, tidy
 
 #: Labelled documents of each class that the network is fitted on, at most, and bytes of a text among them, at most.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 2500, 12_000
@@ -24,8 +23,10 @@ WINDOW, STEP, HIDDEN = 64, 48, 8
 RUNS = (3, 4, 5, 6)
 #: Steps of the fit, steps after which the windows that stand for the texts are chosen anew, windows in a step, first rate.
 STEPS, ROUND, BATCH, RATE = 320, 80, 128, 0.01
-#: Words whose inputs a worker remembers.
-CACHE_TYPES = 300_000
+#: Share of toxic texts that scores are calibrated to, whatever share the labelled ones have.
+PRIOR = 0.25
+#: Words whose inputs a task remembers.
+CACHE_TYPES = 120_000
 
 _OTHER = regex.compile(r"[^\p{L}\p{N}]")
 
@@ -148,7 +149,7 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _grid(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = start[:, None] + np.arange(WINDOW)
     mask = at < end[:, None]
-    return words[np.minimum(at, len(words) - 1)], mask.astype(np.float32)
+    return words[np.minimum(at, len(words) - 1)].astype(np.int32), mask.astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
@@ -160,7 +161,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
     """
     share = sum(labels) / len(labels) if labels else 0.0
     if share in (0.0, 1.0):
-        return {"constant": share, "id": uuid.uuid4().hex}
+        return {"constant": share}
     rng = np.random.default_rng(seed)
     y = np.array(labels)
     types: dict[bytes, int] = {}
@@ -177,7 +178,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
                 own.append(t)
         docs.append(np.array(own, dtype=np.int64))
     if not types:
-        return {"constant": share, "id": uuid.uuid4().hex}
+        return {"constant": share}
     runs, run_counts, lengths = runs_of(list(types))
     run_starts = np.cumsum(run_counts) - run_counts
     word_keys = np.array([xxhash.xxh64_intdigest(w) for w in types], dtype=np.uint64)
@@ -274,9 +275,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
     np.maximum.at(top, text, logits_of(everything))
     full = np.isfinite(top)
     a, b = 1.0, 0.0
+    each = np.where(y == 1, PRIOR / share, (1 - PRIOR) / (1 - share))[full]
     for _ in range(50):  # Newton steps of a logistic fit, held back a little
         q = np.clip(_sigmoid(a * top[full] + b), 1e-6, 1 - 1e-6)
-        err, wt = q - y[full], q * (1 - q)
+        err, wt = each * (q - y[full]), each * q * (1 - q)
         g = np.array([(err * top[full]).sum() + 0.1 * (a - 1), err.sum() + 0.1 * b])
         h = np.array([[(wt * top[full] ** 2).sum() + 0.1, (wt * top[full]).sum()], [(wt * top[full]).sum(), wt.sum() + 0.1]])
         step = np.linalg.solve(h, g)
@@ -287,7 +289,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
         order = keep[np.argsort(keys[keep])]
         return keys[order], values[order]
 
-    return p | {"words": vocabulary(word_keys, whole[0]), "runs": vocabulary(run_ids, whole[1]), "scale": (a, b), "empty": share, "id": uuid.uuid4().hex}
+    return p | {"words": vocabulary(word_keys, whole[0]), "runs": vocabulary(run_ids, whole[1]), "scale": (a, b), "empty": PRIOR}
 
 
 def _look_up(vocabulary: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -343,7 +345,7 @@ class Words(dict):
 
 
 def scores(model: dict, texts: list[bytes], cache: Words | None = None) -> np.ndarray:
-    """Scores from 0 to 1 of whole texts: the largest over all their windows. Texts without words have the share of toxic labels."""
+    """Scores from 0 to 1 of whole texts: the largest over all their windows. Texts without words score PRIOR."""
     if "constant" in model:
         return np.full(len(texts), float(model["constant"]))
     cache = cache if cache is not None else Words(model)
@@ -391,28 +393,26 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # one task has the bounded sample, so that the driver needs no memory for the fit
-    found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(tidy(run), "model binary").collect()
     return pickle.loads(found[0].model) if found else fit([], [], seed)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with a column toxic_score; see scores. Null texts count as empty. Every row keeps its columns and its place."""
-    docs = docs.drop("toxic_score")
+def score(docs: DataFrame, model: dict, out: str = "toxic_score") -> DataFrame:
+    """docs with a column `out`; see scores. Null texts count as empty. Every row keeps its place, and its columns but one of that name."""
+    docs = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, store = sent.value, worker_store()
-        held, cache = store.get("toxicity", (None, None))
-        if held != model["id"]:
-            cache = Words(model)
-            store["toxicity"] = model["id"], cache
+        model = sent.value
+        cache = Words(model)
         for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(model, texts_of(part, "text"), cache), pa.float64())], [*part.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(model, texts_of(part, "text"), cache), pa.float64())], [*part.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def detoxify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    return score(docs, train(docs, labels)).filter(F.col("toxic_score") < threshold).drop("toxic_score")
+    (out,) = fresh(docs, "toxic_score")
+    return score(docs, train(docs, labels), out).filter(F.col(out) < threshold).drop(out)
