@@ -42,6 +42,42 @@ def test_encoder_equals_the_library(texts):
     assert [np.frombuffer(b, "<u2").tolist() for b in encode(texts)] == [encode.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_equals_the_library_on_whole_tables(sf_dir):
+    import pyarrow.parquet as pq
+
+    encode = t.Encoder(PATH)
+    texts = [x or "" for x in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    want = [e.ids for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for k in range(3):  # anew, from memory, and after rare pieces were dropped
+        assert [np.frombuffer(b, "<u2").tolist() for b in encode(texts)] == want
+        if k:
+            known = encode.known
+            encode.forget(3)
+            assert 3 < encode.known < known
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab ,.'éÿœɐ漢\u0301ªß")), max_size=20), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_plain_pieces(texts):
+    encode = t.Encoder.__new__(t.Encoder)
+    encode.__dict__.update(t.encoder(PATH).__dict__)
+    encode.forget()
+    assert [np.frombuffer(b, "<u2").tolist() for b in encode(texts)] == [encode.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_selects_give_offsets_without_a_table(monkeypatch):
+    ids = np.arange(50_000, dtype="<u2")
+    ends = np.sort(np.random.default_rng(1).integers(0, 50_001, 9_999))
+    ends = np.append(ends, 50_000)
+    names = [None, None, *range(-(2**63), -(2**63) + 9_000), *[2**63 - 1] * 998]
+    s = t.Segment(t.pack(ids, ends, names))
+    monkeypatch.setattr(t.EliasFano, "values", None)
+    assert [s.doc_id(i) for i in (0, 1, 2, 9_001, 9_002, 9_999)] == [None, None, -(2**63), -(2**63) + 8_999, 2**63 - 1, 2**63 - 1]
+    assert s.doc_ids(0, 10_000) == names
+    for i in (0, 1, 77, 9_999):
+        assert s[i].tolist() == ids[(ends[i - 1] if i else 0) : ends[i]].tolist()
+
+
 def test_other_tokenizers_take_whole_texts():
     e = t.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert [np.frombuffer(b, "<u2").tolist() for b in e(TEXTS[:6])] == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in TEXTS[:6]]
