@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import struct
@@ -141,14 +142,23 @@ class Segment:
 
 #: Punctuation that may stand after the letters of a plain piece; the first letter that isn't Latin.
 _MARKS, _NOT_LATIN = re.compile(r"[!-&(-/:-@\[-`{-~]"), "\u0250"
+_ENDING = frozenset(c for c in map(chr, range(128)) if _MARKS.match(c))
 # byte-level vocabularies write printable bytes as their Latin-1 characters and the others, in order, as those from 256 on
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED) if b != 10}
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTES = "".join("\n" if b == 10 else chr(b) if b in _PRINTED else chr(256 + _OTHERS.index(b)) for b in range(256))
 
 
 def is_plain(piece: str) -> bool:
     """Whether a piece is Latin letters, with one punctuation mark after them or none."""
-    return piece.isalpha() and max(piece) < _NOT_LATIN or piece[:-1].isalpha() and max(piece) < _NOT_LATIN and _MARKS.match(piece[-1]) is not None
+    if not piece.isalpha() and not (piece[:-1].isalpha() and piece[-1] in _ENDING):
+        return False
+    return piece.isascii() or max(piece) < _NOT_LATIN
+
+
+def byte_level(text: str) -> str:
+    """The text with the characters by which byte-level vocabularies write its bytes, line feeds left alone."""
+    return codecs.charmap_decode(text.encode(), "strict", _BYTES)[0]
 
 
 class Pieces(dict):
@@ -196,7 +206,7 @@ class Encoder:
             self.lengths[i] = len(token.encode()) if i in added else len(token)
         # whether white space cuts plain pieces as the pre-tokenizer does
         probe = " a b, cé"
-        self.cuts_alike = self.piecewise and [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)] == probe.replace(" ", "\n ").replace(",", "\n,").encode().decode("latin-1").translate(_BYTES).split()
+        self.cuts_alike = self.piecewise and [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)] == byte_level(probe.replace(" ", "\n ").replace(",", "\n,")).split()
         self.forget()
 
     def forget(self, hits: int | None = None) -> None:
@@ -227,11 +237,12 @@ class Encoder:
         joined = "".join(pieces)
         if plain:
             # the same cuts by white space: before the characters that stand for spaces, and before punctuation
-            ids = self._encode([_MARKS.sub(r"\n\g<0>", joined.replace(" ", "\n ")).encode().decode("latin-1").translate(_BYTES)], self.plain)[0]
+            ids = self._encode([byte_level(_MARKS.sub(r"\n\g<0>", joined.replace(" ", "\n ")))], self.plain)[0]
         else:
             ids = self._encode([joined])[0]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) if joined.isascii() else np.fromiter((len(p.encode("utf-8", "replace")) for p in pieces), np.int64, len(pieces))
-        bounds, reached = np.cumsum(sizes), np.cumsum(self.lengths[ids])
+        raw = np.frombuffer(joined.encode("utf-8", "replace"), dtype=np.uint8)
+        bounds = np.append(np.flatnonzero(raw == 32)[1:], len(raw))  # no piece has another space
+        reached = np.cumsum(self.lengths[ids])
         at = np.searchsorted(reached, bounds)
         if not len(ids) or at[-1] != len(ids) - 1 or (reached[np.minimum(at, len(ids) - 1)] != bounds).any():
             return self._one_by_one(pieces)  # a vocabulary whose tokens don't say how many bytes they are
@@ -255,7 +266,7 @@ class Encoder:
     def _learn(self) -> None:
         for pieces, space in ((self.inner, " "), (self.outer, "")):
             new, pieces.new = pieces.new, []
-            numbers = np.fromiter(map(pieces.__getitem__, new), np.int64, len(new))
+            numbers = np.arange(len(new)) + (pieces[new[0]] if new else 0)  # they were met in a row
             plain = np.fromiter(map(is_plain, new), bool, len(new)) if self.cuts_alike and space else np.zeros(len(new), bool)
             for alike in (True, False):
                 own = np.flatnonzero(plain == alike)
