@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 SLICE_BYTES = 2 << 20
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 200_000
+#: Keys that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -134,6 +136,44 @@ def running(df: DataFrame, key: str, order: list[str], weight: str, out: str, bu
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(b, base, "_key", "_b")
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def attach(docs: DataFrame, rows: DataFrame, keys: dict[str, Column], many: DataFrame) -> DataFrame:
+    """(row, payload): the columns of docs as a struct, with the payload of one of rows(*keys, payload) that has the same keys.
+
+    keys names columns of rows and says what of docs they are compared with; null equals null. many(*keys) has the keys that
+    several rows of docs share: there each row takes another one of rows, in the order of the hashes of both, and rows of docs
+    for which none is left are dropped, as those whose keys rows doesn't have are. Which of several rows alike in all columns
+    takes which is not fixed. Where one key is most of docs, only rows with equal hashes are numbered by one task.
+    """
+    names = list(keys)
+    left = docs.select(F.struct(*map(column, docs.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))
+    right = rows.select(*(F.col(k).alias(f"_{k}") for k in names), "payload")
+    many = persist(many.select(*(F.col(k).alias(f"many_{k}") for k in names)))
+    hint = F.broadcast if many.count() <= BROADCAST_KEYS else lambda x: x
+
+    def same(prefix: str, other: str) -> Column:
+        out = F.lit(True)
+        for k in names:
+            out = out & F.col(prefix + k).eqNullSafe(F.col(other + k))
+        return out
+
+    single = left.join(hint(many), same("", "many_"), "left_anti").join(right.join(hint(many), same("_", "many_"), "left_anti"), same("", "_"))
+    if many.isEmpty():
+        return single.select("row", "payload")
+
+    def numbered(df: DataFrame, prefix: str, by: str) -> DataFrame:
+        held = df.join(hint(many), same(prefix, "many_"), "left_semi").withColumns({"one": F.lit(1).cast("long"), "tie": F.xxhash64(by)})
+        held = held.withColumn("group", F.struct(*(F.col(prefix + k) for k in names)))
+        return running(held, "group", ["tie"], "one", f"{by}_nth", 64).drop("one", "tie", "group")
+
+    several = numbered(left, "", "row").join(numbered(right, "_", "payload"), same("", "_") & (F.col("row_nth") == F.col("payload_nth")))
+    return single.select("row", "payload").unionByName(several.select("row", "payload"))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the Python process gives back the memory that the task took, as it lives on for later stages."""
 

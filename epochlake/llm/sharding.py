@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import persist, running
+from .common import attach, persist, running
 
 SHARDS, ROUNDS = 24, 3
 #: Rows of one shard or group that are numbered by one task.
@@ -158,22 +158,27 @@ def pack(counts: dict[int, int], shards: int = SHARDS) -> list[tuple[int, int, i
     return out
 
 
+def _mark(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def _narrow(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.md5(text.cast("binary"))).alias("mark"),
+        _mark(F.col("text")).alias("mark"),
     )
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, mark, shard, slot): every row in one of the shards, whose counts are at most one apart.
 
-    Documents of equal texts are linked, to the first of them, and go to one shard as far as the counts allow; a group larger
-    than a shard fills whole shards, and one is split only if no shard could hold it when its turn came; see pack. size is the text's UTF-8 bytes plus 8; slot runs from 0 without gaps in each shard. A null
-    text counts as an empty one. Null ids and repeated rows each have a place of their own. `mark` is the text's MD5.
+    Documents of equal texts are linked, to the first of them, and go to one shard as far as first-fit packing allows: a group
+    larger than a shard fills whole shards, and one is split only if no shard could hold it when its turn came; see pack. size
+    is the text's UTF-8 bytes plus 8; slot runs from 0 without gaps in each shard. A null text counts as an empty one. Null ids
+    and repeated rows each have a place of their own. Other columns are ignored. `mark` is the text's MD5. No rows: no rows.
     """
     rows = persist(_narrow(docs))
     buckets = max(16, -(-rows.count() // BUCKET_ROWS))
@@ -192,11 +197,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """docs with the columns shard and slot; see assign. Columns of docs by these names give way."""
+    """docs with the columns shard and slot; see assign. Columns of docs by these names give way, all others stay.
+
+    Rows alike in doc_id and text share out their places in the order of the hashes of all their columns.
+    """
     docs = docs.drop("shard", "slot")
-    decided = assign(docs, shards, rounds).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_all"))
-    marked = docs.withColumn("_mark", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    joined = marked.join(decided.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), "_all"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")))
-    turn = Window.partitionBy("_id", "_m").orderBy(F.lit(0))
-    at = F.element_at("_all", F.row_number().over(turn))
-    return joined.withColumn("_at", at).select(*docs.columns, "_at.shard", "_at.slot")
+    placed = persist(assign(docs, shards, rounds).select("doc_id", "mark", F.struct("shard", "slot").alias("payload")))
+    keys = {"doc_id": F.col("doc_id").cast("long"), "mark": _mark(F.col("text"))}
+    many = placed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return attach(docs, placed, keys, many).select("row.*", "payload.*")

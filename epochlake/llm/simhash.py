@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import persist, slices, texts_of, tidy
+from .common import column, fresh, persist, slices, texts_of, tidy
 from .graph import components
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -206,22 +206,25 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
 def group_heads(docs: DataFrame, groups: DataFrame, marked: Callable[[DataFrame], DataFrame], mark: str) -> DataFrame:
     """The rows of docs that head a group of groups(doc_id, fp, component_id); marked adds a row's fp as the column `mark`.
 
-    Where that id is repeated inside the group, the row with the smallest fingerprint, then text, stays. Rows without a doc_id
-    can't be told apart and all stay; so do, of a repeated doc_id, rows of other groups that it heads.
+    Where that id is repeated inside the group, the row with the smallest fingerprint, then text, then hash of all columns,
+    stays. Rows without a doc_id can't be told apart and all stay; so do, of a repeated doc_id, rows of other groups that it
+    heads. All columns of docs are kept, whatever their names.
     """
     heads = groups.groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
     each = Window.partitionBy("doc_id")
     heads = persist(heads.filter("doc_id is not null").withColumn("n", F.sum("n").over(each)).filter("doc_id = component_id"))
-    plain = docs.join(heads.filter("n = 1").select(F.col("doc_id").alias("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
-    kept = plain.unionByName(docs.filter("doc_id is null"))
+    (other,) = fresh(docs, "_id")
+    known = F.col("doc_id").cast("long")
+    kept = docs.join(heads.filter("n = 1").select(F.col("doc_id").alias(other)), known == F.col(other), "left_semi").unionByName(docs.filter(known.isNull()))
     odd = heads.filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
     if odd.isEmpty():
         return kept
-    rows = docs.join(odd.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi")
-    by_text = marked(rows)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    picked = by_text.join(odd, (by_text["doc_id"] == F.col("_id")) & (by_text[mark] == F.col("_fp")), "left_semi")
-    return kept.unionByName(picked.drop(mark).withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth"))
+    packed = docs.select(F.struct(*map(column, docs.columns)).alias("row"), known.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = marked(packed.join(odd.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi"))
+    picked = rows.join(odd, (F.col("doc_id") == F.col("_id")) & (F.col(mark) == F.col("_fp")))
+    # one row of each id is left, by an aggregation: repeated rows meet no window
+    first = picked.groupBy("doc_id").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row"))
+    return kept.unionByName(first.select("row.*"))
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -89,3 +89,56 @@ def test_mix_as_documents(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert m.mix_sizes(df).collect() == [] and m.mix(df).collect() == []
+
+
+def test_clashing_columns_ties_and_long_texts_stay(spark):
+    rows = [(i % 5, f"same text {i % 3} " + "w " * 200, "en", "a", 1, i, i, i) for i in range(40)] + [(100, "w " * 300_000, "en", "b", 2, 7, 7, 7), (None, "x " * 100, None, None, None, 8, 8, 8)]
+    df = spark.createDataFrame(rows, SCHEMA + ", _mark int, _cuts int, row int")
+    out = m.mix(df).collect()
+    assert all(r._mark == r._cuts == r.row for r in out) and {r._mark for r in out} >= {7, 8}
+    assert all(r.n_chars == len(r.text) for r in out)
+    assert sorted(map(str, out)) == sorted(map(str, m.mix(df.repartition(7)).collect()))
+    taken = sum(len(r.text.split()) for r in out)
+    assert taken == sum(r.taken for r in m.mix_sizes(df).collect())
+
+
+def test_targets_of_small_sources_are_met_within_a_sixty_fourth(spark):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (40, "b"), (100, "c"), (700, "d"), (90_000, "e")])]
+    for r in m.mix_sizes(docs(spark, rows)).collect():
+        assert abs(r.taken - r.target) <= max(1, r.source_size / 64), r
+
+
+def test_shards_can_be_drawn_apart():
+    quotas = [500, 0, 12345, 7, 90_000]
+    whole = m.draw(quotas, 128, 5)
+    parts = [row for k in range(0, 900, 100) for row in m.draw(quotas, 128, 5, k, k + 100)]
+    assert sorted(whole) == sorted(parts)
+    seen = {}
+    for _, s, first, n in sorted(whole):  # a source's slots have no gaps
+        assert first == seen.get(s, 0)
+        seen[s] = first + n
+    assert seen == {s: q for s, q in enumerate(quotas) if q}
+
+
+def brute_targets(sizes):
+    """What each source gives, by handing out words a little at a time to those that may still take them."""
+    weights = [m.WEIGHTS[i % 3] for i in range(len(sizes))]
+    left, out = m.SHARE * sum(sizes), [0.0] * len(sizes)
+    while left > 1e-6:
+        free = [i for i, n in enumerate(sizes) if out[i] < 2 * n - 1e-9]
+        if not free:
+            break
+        step = min([left / sum(weights[i] for i in free)] + [(2 * sizes[i] - out[i]) / weights[i] for i in free])
+        for i in free:
+            out[i] += step * weights[i]
+            left -= step * weights[i]
+    return out
+
+
+def test_targets_against_brute_force():
+    r = random.Random(6)
+    for _ in range(200):
+        sizes = [r.choice([0, 1, 50, 1000, 10**6]) for _ in range(r.randrange(1, 9))]
+        want = brute_targets(sizes)
+        got = m.targets([(str(i), n) for i, n in enumerate(sizes)])
+        assert all(abs(a - b) <= 1e-6 * max(1, b) for a, b in zip(got, want, strict=True)), (sizes, got, want)

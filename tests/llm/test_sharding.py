@@ -108,3 +108,21 @@ def test_propagation_swaps_nodes_that_all_have_links(spark):
     where = {x.node: x["shard"] for x in got}
     assert Counter(where.values()) == {k: 80 for k in range(6)}
     assert sum(where[a] == where[b] for a, b in pairs) >= 0.8 * len(pairs)
+
+
+@pytest.mark.parametrize("unique", [0, 48, 480])
+def test_pairs_stay_whole_whatever_the_share_of_unique_texts(spark, unique):
+    rows = [(i, f"pair {i % 480}", "") for i in range(960)] + [(2000 + i, f"alone {i}", "") for i in range(unique)]
+    got = s.assign(spark.createDataFrame(rows, SCHEMA)).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and cut(got) == 0
+
+
+def test_clashing_columns_and_ties(spark):
+    rows = [(1 if i % 2 else None, "same", i, bytes([i]), i) for i in range(60)] + [(5, "x" * 3_000_000, 99, b"c", 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mark int, slot binary, row int")
+    first = s.shard(df, 4).collect()
+    assert sorted((x._mark, x.row) for x in first) == sorted((r[2], r[4]) for r in rows)
+    assert len({(x["shard"], x.slot) for x in first}) == len(rows)
+    again = s.shard(df.repartition(5), 4).collect()
+    assert sorted((x._mark, x["shard"], x.slot) for x in first) == sorted((x._mark, x["shard"], x.slot) for x in again)

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import types as T
 
 from epochlake.llm import simhash
+from epochlake.llm.simhash import deduplicate
 from epochlake.llm.graph import components
 
 SCHEMA = "doc_id long, text string"
@@ -106,3 +107,17 @@ def test_components(spark):
         for a, b in good:
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == comp
+
+
+def test_clashing_columns_stay(spark):
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abcdefghij") for _ in range(30)) for _ in range(3)]
+    rows = [(i % 4, texts[i % 3], i, i, i, "r") for i in range(12)] + [(None, texts[0], 50, 50, 50, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _simhash int, _nth int, _id int, row string")
+    kept = deduplicate(docs).collect()
+    assert [x for x in kept if x.doc_id is None] and all(x._simhash == x._nth == x._id for x in kept)
+    assert {tuple(x) for x in kept} <= set(rows) and len({x.doc_id for x in kept if x.doc_id is not None}) == len([x for x in kept if x.doc_id is not None])
+    from epochlake.llm import jaccard
+
+    again = jaccard.deduplicate(docs.withColumnRenamed("_nth", "_key")).collect()
+    assert all(x._simhash == x._key == x._id for x in again) and len(again) == len(kept)
