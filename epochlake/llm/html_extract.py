@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from .common import slices, tidy
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_DROPPED = frozenset("head script style noscript template svg math iframe object canvas select option textarea button datalist title video audio map".split())
+_DROPPED = frozenset("head script style noscript template svg iframe object canvas select option textarea button datalist title video audio map".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -31,14 +32,19 @@ _WORD, _RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), re.compile(r"[A-Za-z]
 TAG_COST = {"nav": 11.0, "footer": 11.0, "aside": 11.0, "form": 10.0, "menu": 11.0, "dialog": 11.0, "search": 11.0, "fieldset": 2.0, "address": 1.0, "article": -3.5, "main": -3.0, "figure": 0.0}
 HEADER_COST, HIDDEN_COST, LINK_COST, NAME_COST, GOOD_NAME_COST = 8.0, 12.0, 4.0, 12.0, -1.5
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices alert alerts comment comments commentlist disqus reply replies respond discussion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer foot masthead header topbar toolbar share sharing social socials related recommended recommendations subscribe subscription newsletter signup login signin register popup popups modal overlay widget widgets pagination pager copyright legal disclaimer search skip tags taglist byline outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices alert alerts comment comments commentlist disqus reply replies respond discussion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer foot masthead header topbar toolbar share sharing social socials related recommended recommendations subscribe subscription newsletter signup login signin register popup popups modal overlay widget widgets pagination pager copyright legal disclaimer search skip tags taglist byline outbrain taboola"
+    " anzeige anzeigen werbung reklame kommentar kommentare fuss fusszeile fussleiste kopfzeile kopf seitenleiste hinweis hinweise impressum datenschutz anmelden anmeldung suche teilen newsletteranmeldung"
+    " pub pubs publicite publicites annonce annonces commentaire commentaires pied piedpage entete barrelaterale partage partager recherche connexion inscription mentions"
+    " publicidad anuncio anuncios comentario comentarios pie cabecera barralateral lateral compartir buscar suscripcion registro aviso avisos"
+    " pubblicita commento commenti intestazione piepagina publicidade anuncios rodape cabecalho comentarios".split()
 )
-GOOD_NAMES = frozenset("article articlebody content entry post story main maincontent body text prose".split())
-_NOTICE = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bsubscribe\b|\badvertisement\b|\bsponsored\b|\bsign (?:in|up)\b|\blog ?in\b", re.I)
+GOOD_NAMES = frozenset("article articlebody content entry post story main maincontent body text prose artikel inhalt beitrag haupttext contenu texte corps articulo contenido texto cuerpo entrada articolo contenuto testo artigo conteudo".split())
+_NOTICE = re.compile(r"©|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|\bsubscribe\b|\badvertisement\b|\bsponsored\b|\bsign (?:in|up)\b|\blog ?in\b|\balle rechte vorbehalten\b|\bdatenschutz|\bimpressum\b|\btous droits réservés\b|\bmentions légales\b|\btodos los derechos reservados\b|\baviso legal\b|\btutti i diritti riservati\b|\btodos os direitos reservados\b", re.I)
 #: A form that frames the page's content costs nothing: it holds an article or main, or most of the page's prose, of so many characters a block.
 PROSE_CHARS, LONG_PROSE_CHARS = 80, 400
-#: Smoothness: what it costs to label neighbours differently.
+#: Smoothness: what it costs to label neighbours differently, less the more the neighbours differ in what stands for itself.
 NEXT_COST, PARENT_COST, GRAND_COST = 0.8, 0.9, 0.3
+PLACE_SCALE, LINK_SCALE = 3.0, 0.5
 
 
 class Block:
@@ -91,6 +97,10 @@ def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
     frames: set[int] = set()
     # open elements: tag, number, cost from the root to here, whether dropped, whether inside an article, number of the form around
     stack: list[tuple[str, int, float, bool, bool, int]] = [("", 0, 0.0, False, False, 0)]
+    # where in the stack the open elements of each tag are, and the blocks; so no tag looks through the stack
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = [0]
+    forms: list[int] = []
     count, links, at, end = 0, 0, 0, len(html)
     parts: list[str] = []
     linked: list[str] = []
@@ -100,9 +110,7 @@ def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
             return
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            top = len(stack) - 1
-            while top and stack[top][0] not in _BLOCK:
-                top -= 1
+            top = blocks[-1]
             # the parent is the element around the block's own
             own = stack[top - 1][1] if top else 0
             grand = stack[top - 2][1] if top > 1 else 0
@@ -119,7 +127,16 @@ def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
     def pop(to: int) -> None:
         nonlocal links
         while len(stack) > to:
-            links -= stack.pop()[0] == "a"
+            tag = stack.pop()[0]
+            links -= tag == "a"
+            places[tag].pop()
+            if tag in _BLOCK:
+                blocks.pop()
+            if tag == "form":
+                forms.pop()
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     while at < end:
         lt = html.find("<", at)
@@ -153,44 +170,29 @@ def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
+            if tag == "br" or tag == "p" and not places.get("p"):
                 text(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in _BLOCK or any(s[0] in _BLOCK for s in stack[k:]):
-                        if tag not in _BLOCK:
-                            break  # an inline end tag doesn't close blocks
-                        flush()
-                    pop(k)
-                    break
+            k = innermost({tag})
+            if k and tag in _BLOCK:
+                flush()
+                pop(k)
+            elif k > blocks[-1]:  # an inline end tag doesn't close blocks
+                pop(k)
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in _BLOCK:
             flush()
-            if stack[-1][0] != "p":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] in _BLOCK:
-                        break
-            else:
-                pop(len(stack) - 1)
+            if stack[blocks[-1]][0] == "p":
+                pop(blocks[-1])
             if tag in _ENDS:
-                own, around = _ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in own:
-                        pop(k)
-                        break
-                    if stack[k][0] in around:
-                        break
-        if tag == "body":  # an unclosed head ends here
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "head":
-                    pop(k)
+                own, around = map(innermost, _ENDS[tag])
+                if own > around:
+                    pop(own)
+        if tag == "body" and places.get("head"):  # an unclosed head ends here
+            pop(places["head"][0])
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK and tag not in _RAW:
             if tag in ("img", "hr", "input"):
                 text(" ")
@@ -208,6 +210,7 @@ def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
         count += 1
         if tag == "form":
             form = count
+            forms.append(form)
             cost += 0.0 if form in free else TAG_COST[tag]
         elif tag in TAG_COST:
             cost += TAG_COST[tag]
@@ -217,9 +220,12 @@ def _read(html: str, free: frozenset[int]) -> tuple[list[Block], set[int]]:
             cost += _names_cost(tag, attrs, inside)
             if _HIDDEN.search(attrs):
                 cost += HIDDEN_COST
-        if tag in ("article", "main"):
-            frames |= {s[5] for s in stack if s[5]}
+        if tag in ("article", "main") and forms and forms[-1] not in frames:
+            frames.update(forms)
         links += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            blocks.append(len(stack))
         stack.append((tag, count, max(-4.0, min(20.0, cost)), dropped or tag in _DROPPED, inside or tag in ("article", "main"), form))
     flush()
     return out, frames
@@ -306,24 +312,38 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
                 break
 
 
-def extract(html: str | None) -> str:
-    """The page's main text: its content blocks in order, one to a line. Null, empty and text-free pages give an empty text."""
-    blocks = blocks_of(html or "")
-    if not blocks:
-        return ""
-    costs = [classifier_cost(b) for b in blocks]
+def likeness(a: Block, b: Block) -> float:
+    """From 1, for blocks alike in their places' costs and shares of links, towards 0."""
+    place = (a.cost - b.cost) / PLACE_SCALE
+    link = (a.linked / len(a.text) - b.linked / len(b.text)) / LINK_SCALE
+    return math.exp(-place * place - link * link)
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: between blocks that follow each other, and between one and the last like it in the same element, or the one around."""
     edges: list[tuple[int, int, float]] = []
-    last: dict[tuple[str, int], int] = {}
+    last: dict[tuple[str, int, int], int] = {}
     for i, b in enumerate(blocks):
         if i:
             # neighbours hold together less across a change of place
-            edges.append((i - 1, i, NEXT_COST if b.parent == blocks[i - 1].parent else NEXT_COST / 4))
+            edges.append((i - 1, i, (NEXT_COST if b.parent == blocks[i - 1].parent else NEXT_COST / 4) * likeness(b, blocks[i - 1])))
         for kind, number, c in (("parent", b.parent, PARENT_COST), ("grand", b.grand, GRAND_COST)):
-            j = last.get((kind, number))
+            # what stands between, an advert say, doesn't part those that are alike
+            key = kind, number, round(b.cost / PLACE_SCALE)
+            j = last.get(key)
             if j is not None:
-                edges.append((j, i, c))
-            last[kind, number] = i
-    return "\n".join(b.text for b, kept in zip(blocks, min_cut(costs, edges), strict=True) if kept)
+                edges.append((j, i, c * likeness(b, blocks[j])))
+            last[key] = i
+    return [e for e in edges if e[2] > 1e-6]
+
+
+def extract(html: str | None) -> str:
+    """The page's main text: its content blocks in order, one to a line. Null, empty and text-free pages give an empty text."""
+    blocks = blocks_of(html or "")
+    if not blocks:
+        return ""
+    kept = min_cut([classifier_cost(b) for b in blocks], edges_of(blocks))
+    return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 import itertools
 import random
 
@@ -72,3 +73,39 @@ def test_table(spark):
     assert sorted(str((r.page_id, r.url, r.n_chars)) for r in got) == sorted(str((i, u, len(h.extract(p)))) for i, u, p, _ in rows)
     assert {r.text for r in got if r.page_id is None or r.page_id == 2} == {""}
     assert h.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+PROSE = [f"The committee met on Tuesday to discuss plan {i} for the river, and {i} of its members spoke at length about it." for i in range(20)]
+
+
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<div class='content'>{}</div>", "<article>{}</article>", "<section><div>{}</div></section>"])
+def test_adverts_between_paragraphs_leave_them(around):
+    inner = "".join(f"<p>{p}</p><div class='ad'>Buy our shoes now, number {i}</div>" for i, p in enumerate(PROSE))
+    page = f"<body><nav><a href='/'>Home</a> <a href='/x'>News</a></nav>{around.format(inner)}<footer>&copy; us</footer></body>"
+    assert h.extract(page).split("\n") == PROSE
+
+
+def test_names_and_notices_of_other_languages():
+    for bad in ("<div class='kommentare'><p>Ganz toll geschrieben, vielen Dank!</p></div>", "<div class='fuss'>Alle Rechte vorbehalten</div>", "<div id='commentaires'><p>Très bon article, merci.</p></div>", "<div class='publicidad'>Compre ahora</div>"):
+        assert h.extract(f"<div><p>{PROSE[0]}</p><p>{PROSE[1]}</p>{bad}</div>") == "\n".join(PROSE[:2])
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>" + "<b>" * 50_000 + "x<hr>" * 50_000, "<li>" * 50_000 + "x", "<form>" * 20_000 + "<article>x" * 20_000, "<p>" * 50_000 + "</p>" * 50_000])
+def test_time_grows_with_the_page(page):
+    begin = time.process_time()
+    h.extract(page)
+    assert time.process_time() - begin < 3
+
+
+def test_labelling_against_all_labellings():
+    r = random.Random(4)
+    parts = ["<p>{}</p>", "<div class='ad'>{}</div>", "<ul><li><a href='x'>{}</a></li></ul>", "<div><p>{}</p></div>", "<footer>{}</footer>", "<h2>{}</h2>"]
+    for _ in range(60):
+        page = "<div>" + "".join(r.choice(parts).format(r.choice(PROSE) if r.random() < 0.6 else "short words") for _ in range(r.randrange(1, 10))) + "</div>"
+        blocks = h.blocks_of(page)
+        costs, edges = [h.classifier_cost(b) for b in blocks], h.edges_of(blocks)
+        energy = lambda kept: sum((max(c, 0) if k else max(-c, 0)) for c, k in zip(costs, kept, strict=True)) + sum(w for i, j, w in edges if kept[i] != kept[j])  # noqa: B023, E731
+        best = min(energy(k) for k in itertools.product((False, True), repeat=len(blocks)))
+        kept = h.min_cut(costs, edges)
+        assert energy(kept) <= best + 1e-6
+        assert h.extract(page) == "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
