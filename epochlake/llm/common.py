@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -174,10 +175,25 @@ def attach(docs: DataFrame, rows: DataFrame, keys: dict[str, Column], many: Data
     return single.select("row", "payload").unionByName(several.select("row", "payload"))
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Numpy's matrix products use one thread from now on: a task has one core, and idle threads of the library spin."""
+    import ctypes
+    from pathlib import Path
+
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        blas = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(blas, name):
+                getattr(blas, name)(1)
+                break
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the Python process gives back the memory that the task took, as it lives on for later stages."""
+    """run on one thread, after which the Python process gives back the memory that the task took, as it lives on for later stages."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         try:
             yield from run(batches)
         finally:

@@ -26,7 +26,7 @@ STEPS, ROUND, BATCH, RATE = 320, 80, 128, 0.01
 #: Share of toxic texts that scores are calibrated to, whatever share the labelled ones have.
 PRIOR = 0.25
 #: Words whose inputs a task remembers.
-CACHE_TYPES = 120_000
+CACHE_TYPES = 400_000
 
 _OTHER = regex.compile(r"[^\p{L}\p{N}]")
 
@@ -292,56 +292,62 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> dict:
     return p | {"words": vocabulary(word_keys, whole[0]), "runs": vocabulary(run_ids, whole[1]), "scale": (a, b), "empty": PRIOR}
 
 
-def _look_up(vocabulary: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
-    """The values of the wanted keys; zero for keys that aren't there."""
-    keys, values = vocabulary
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.float32)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], np.float32(0))
+class Vocabulary:
+    """Values by 64-bit keys; a table of the keys' leading bits spares most keys that aren't there the search."""
+
+    BITS = 21
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.there = np.zeros(1 << self.BITS, dtype=bool)
+        self.there[keys >> np.uint64(64 - self.BITS)] = True
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of the wanted keys; zero for keys that aren't there."""
+        out = np.zeros(len(wanted), dtype=np.float32)
+        maybe = np.flatnonzero(self.there[wanted >> np.uint64(64 - self.BITS)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, wanted[maybe]), len(self.keys) - 1)
+            found = self.keys[at] == wanted[maybe]
+            out[maybe[found]] = self.values[at[found]]
+        return out
 
 
 class Words(dict):
-    """Rows of the words' inputs by the words as they stand in a text; -1 for those without letters or digits."""
+    """Numbers of the words as they stand in a text; -1 for those without letters or digits. `inputs` has the words' inputs."""
 
     def __init__(self, model: dict) -> None:
-        self.model, self.new = model, []
-        self.inputs = np.zeros((0, 6 * HIDDEN), dtype=np.float32)
+        self.words, self.runs = Vocabulary(*model["words"]), Vocabulary(*model["runs"])
+        self.new: list[bytes] = []
         self.used = 0
-        self.rows: dict[bytes, int] = {}
+        self.inputs = np.zeros((0, 1 + len(RUNS)), dtype=np.float32)
 
     def __missing__(self, raw: bytes) -> int:
         word = _normal(raw)
-        if not word:
-            row = -1
-        elif (row := self.rows.get(word, -1)) < 0:
-            row = self.rows[word] = self.used + len(self.new)
+        if word:
+            row = self.used + len(self.new)
             self.new.append(word)
+        else:
+            row = -1
         self[raw] = row
         return row
 
     def ready(self) -> np.ndarray:
+        """The inputs of all words met so far."""
         if self.new:
-            m, words = self.model, self.new
-            runs, n, lengths = runs_of(words)
-            own = _look_up(m["words"], np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64))
-            x = word_inputs(own, _look_up(m["runs"], runs), n, lengths)
-            rows = x @ m["x"] + m["b"]
-            if self.used + len(rows) > len(self.inputs):
-                grown = np.zeros((max(2 * len(self.inputs), self.used + len(rows), 50_000), rows.shape[1]), dtype=np.float32)
-                grown[: self.used] = self.inputs[: self.used]
-                self.inputs = grown
-            self.inputs[self.used : self.used + len(rows)] = rows
-            self.used += len(rows)
+            runs, n, lengths = runs_of(self.new)
+            own = self.words(np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new)))
+            x = word_inputs(own, self.runs(runs), n, lengths)
+            if self.used + len(x) > len(self.inputs):
+                self.inputs = np.concatenate([self.inputs[: self.used], np.zeros((max(self.used, len(x), 50_000), x.shape[1]), np.float32)])
+            self.inputs[self.used : self.used + len(x)] = x
+            self.used += len(x)
             self.new = []
-        if len(self) > CACHE_TYPES:
-            inputs = self.inputs
+        inputs = self.inputs
+        if self.used > CACHE_TYPES:
             self.clear()
-            self.rows.clear()
-            self.used = 0
-            self.inputs = np.zeros((0, inputs.shape[1]), dtype=np.float32)
-            return inputs
-        return self.inputs
+            self.used, self.inputs = 0, np.zeros((0, inputs.shape[1]), dtype=np.float32)
+        return inputs
 
 
 def scores(model: dict, texts: list[bytes], cache: Words | None = None) -> np.ndarray:
@@ -359,6 +365,11 @@ def scores(model: dict, texts: list[bytes], cache: Words | None = None) -> np.nd
         ends = np.cumsum(counts)
         counts = total[ends] - total[ends - counts]
         words = words[kept]
+    # the gates' shares of the words that are here
+    here = np.zeros(len(inputs), dtype=bool)
+    here[words] = True
+    words = (np.cumsum(here) - 1)[words]
+    inputs = inputs[here] @ model["x"] + model["b"]
     text, start, end = windows_of(counts)
     top = np.full(len(texts), -np.inf)
     for k in range(0, len(text), 2048):
@@ -405,7 +416,7 @@ def score(docs: DataFrame, model: dict, out: str = "toxic_score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        cache = Words(model)
+        cache = None if "constant" in model else Words(model)
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(model, texts_of(part, "text"), cache), pa.float64())], [*part.schema.names, out])
 

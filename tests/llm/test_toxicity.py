@@ -87,3 +87,60 @@ def test_scores_do_not_depend_on_neighbours():
     together = x.scores(model, texts)
     alone = np.array([x.scores(model, [t])[0] for t in texts[:40]])
     assert np.allclose(together[:40], alone, atol=1e-5)
+
+
+def plain_score(m, text):
+    """The score of a text, word by word and window by window, in plain Python."""
+    import math
+
+    import xxhash
+
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    own = dict(zip(m["words"][0].tolist(), m["words"][1].tolist(), strict=True))
+    runs = dict(zip(m["runs"][0].tolist(), m["runs"][1].tolist(), strict=True))
+
+    def run_hash(piece):
+        h = 0
+        for byte in piece:
+            h = (h * 0x100000001B3 + byte + 1) % 2**64
+        h = (h ^ h >> 29) * 0x9E3779B97F4A7C15 % 2**64
+        return h ^ h >> 32
+
+    def inputs(word):
+        marked = b"<" + word + b">"
+        out = [own.get(xxhash.xxh64_intdigest(word), 0.0)]
+        for n in x.RUNS:
+            out.append(max((runs.get(run_hash(marked[i : i + n]), 0.0) for i in range(len(marked) - n + 1)), default=-1.0))
+        return out
+
+    words = [w for w in ("".join(c for c in w if c.isalnum()).lower().encode() for w in text.split()) if w]
+    if not words:
+        return m["empty"]
+    n, best = x.HIDDEN, -math.inf
+    for start in range(0, max(1, len(words) - x.WINDOW + x.STEP), x.STEP):
+        window = [inputs(w) for w in words[start : start + x.WINDOW]]
+        states = []
+        for d in (0, 1):
+            h, each = [0.0] * n, []
+            for features in window if d == 0 else window[::-1]:
+                gate = [sum(f * m["x"][k][3 * n * d + j] for k, f in enumerate(features)) + m["b"][3 * n * d + j] for j in range(3 * n)]
+                a = [sum(h[k] * m["u"][d][k][j] for k in range(n)) + m["c"][d][j] for j in range(3 * n)]
+                z, r = [[sigmoid(gate[o + j] + a[o + j]) for j in range(n)] for o in (0, n)]
+                new = [math.tanh(gate[2 * n + j] + r[j] * a[2 * n + j]) for j in range(n)]
+                h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(n)]
+                each.append(h)
+            states.append(each if d == 0 else each[::-1])
+        both = [f + b for f, b in zip(*states, strict=True)]
+        e = [math.exp(sum(v * s for v, s in zip(m["v"], state, strict=True))) for state in both]
+        pooled = [sum(w * state[j] for w, state in zip(e, both, strict=True)) / sum(e) for j in range(2 * n)]
+        best = max(best, sum(w * v for w, v in zip(m["w"], pooled, strict=True)) + m["bias"][0])
+    a, b = m["scale"]
+    return sigmoid(a * best + b)
+
+
+def test_scores_against_plain_python():
+    rows = corpus(160)
+    m = x.fit([t for _, t, _ in rows], [y for *_, y in rows])
+    texts = ["", " .. ", "zonkhead", "one two Blarg! three", *(t for _, t, _ in rows[:12]), "ka lo, mi " * 90]
+    got = x.scores(m, [t.encode() for t in texts])
+    assert np.abs(got - [plain_score(m, t) for t in texts]).max() < 1e-3
