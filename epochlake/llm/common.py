@@ -19,6 +19,8 @@ SLICE_BYTES = 2 << 20
 CACHE_WORDS = 200_000
 #: Keys that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: Rows of one key beyond which it isn't joined by a shuffle.
+HOT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -137,6 +139,20 @@ def running(df: DataFrame, key: str, order: list[str], weight: str, out: str, bu
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(b, base, "_key", "_b")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right(key, ...), which has at most one row a key: keys with over HOT_ROWS rows of left go by a broadcast.
+
+    left must be at rest. There are at most count / HOT_ROWS such keys; should even these be too many, they are shuffled too.
+    """
+    hot = persist(left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select(key))
+    n = hot.count()
+    if not n or n > BROADCAST_KEYS:
+        return left.join(right, key)
+    hot = F.broadcast(hot)
+    few = right.join(hot, key, "left_semi")
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(left.join(F.broadcast(few), key))
+
+
 def column(name: str) -> Column:
     """A column by its name, whatever characters that has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist, tidy
+from .common import join_hot, persist, tidy
 from .graph import components
 
-#: Least cosine of a link, sign bits of a table's code, and probability that all tables miss a link of exactly this cosine.
-COSINE, BITS, MISS = 0.98, 12, 1e-6
+#: Least cosine of a link, and probability that all tables miss a link of exactly this cosine.
+COSINE, MISS = 0.98, 1e-6
+#: Sign bits of a table's code: so many more than the logarithm of the vectors of the largest label, between two bounds.
+SPARE_BITS, LEAST_BITS, MOST_BITS = 3, 12, 24
 #: Rows of a bucket that one task compares at once; larger buckets are cut into blocks, and each pair of blocks is a task's work.
 BLOCK_ROWS = 2048
 
 
-def tables_for(cosine: float = COSINE, bits: int = BITS, miss: float = MISS) -> int:
+def tables_for(cosine: float = COSINE, bits: int = LEAST_BITS, miss: float = MISS) -> int:
     """Tables after which a pair of this cosine has shared no bucket with probability `miss` at most."""
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return max(1, math.ceil(math.log(miss) / math.log1p(-same)))
@@ -29,7 +31,7 @@ def sign_codes(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Codes of normalized vectors: the signs at random hyperplanes, the same for all vectors of a length."""
     planes = np.random.default_rng([vectors.shape[1], 971]).standard_normal((vectors.shape[1], bits * tables))
     signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
+    return (signs @ (1 << np.arange(bits))).astype(np.int32)
 
 
 def normalized(vectors: np.ndarray) -> np.ndarray:
@@ -45,10 +47,9 @@ def usable() -> Column:
     return F.coalesce(other & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of (vec_id, label, embedding) that can link, with a hash of the vector; and one row per distinct vector."""
-    rows = vectors.filter(usable()).withColumn("h", F.xxhash64("embedding"))
-    return rows, rows.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"))
+def bits_for(vectors: int) -> int:
+    """Bits by which unlike vectors, this many of a label, seldom share a bucket."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(vectors, 1))) + SPARE_BITS))
 
 
 def compare(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -100,22 +101,28 @@ def compare(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, c
     return links, forest
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS, miss: float = MISS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int | None = None, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
     Vectors of equal labels link at a cosine of `cosine` or more, in double precision. Vectors that are null, empty, zero or
     hold null or non-finite components, and those with a null label or vec_id, link with nothing: no links, their own id as
-    component. Vectors of other lengths don't meet. Equal vectors are compared once and counted each, repeated rows too; a
-    vec_id that stands on several different vectors counts as one. kept: the row's id is its component's smallest. No rows:
-    no rows.
+    component. Vectors of other lengths don't meet. Equal vectors, by two 64-bit hashes, are compared once and counted each,
+    repeated rows too; a vec_id that stands on several different vectors counts as one. kept: the row's id is its component's
+    smallest. Other columns are ignored. No rows: no rows.
 
     Pairs that share a code in one of the tables are compared, in the first such table only; links are counted where they are
-    found and only a spanning forest of each bucket is emitted. A pair at the least cosine escapes with probability `miss`.
+    found and only a spanning forest of each bucket is emitted. Codes have `bits` bits, or as many as bits_for the largest
+    label; the tables follow from them. Codes are dealt without their vectors, which go only where a bucket has several. A
+    pair at the least cosine escapes with probability `miss`.
     """
-    tables = tables_for(cosine, bits, miss)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding"))
-    rows, distinct = classes(vectors)
+    identity = ["label", "h", "h2"]
+    rows = vectors.filter(usable()).withColumns({"h": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    distinct = rows.groupBy(*identity).agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     kind = dict(vectors.dtypes)
+    if bits is None:
+        bits = bits_for(rows.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1)
+    tables = tables_for(cosine, bits, miss)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,16 +138,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
             codes = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables, dtype=np.int32)), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "codes"])
 
-    hashed = persist(distinct.select("label", "embedding", "cid", "n").mapInArrow(tidy(coded), f"label {kind['label']}, embedding {kind['embedding']}, cid long, n long, codes array<int>"))
-    keyed = hashed.select("label", F.size("embedding").alias("dim"), "cid", "n", "embedding", "codes", F.posexplode("codes").alias("table", "code"))
+    schema = f"label {kind['label']}, h long, h2 long, embedding {kind['embedding']}, cid long, n long, codes array<int>"
+    hashed = persist(distinct.select(*identity, "embedding", "cid", "n").mapInArrow(tidy(coded), schema))
     key = ["label", "dim", "table", "code"]
-    hot = keyed.groupBy(*key).agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK_ROWS).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).drop("rows")
-    cut = keyed.join(hot, key, "left").withColumn("side", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid"), F.col("blocks"))).cast("int"))
+    keyed = hashed.select("h", "h2", "label", F.size("embedding").alias("dim"), F.posexplode("codes").alias("table", "code"))
+    shared = keyed.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1").select(*key, F.when(F.col("rows") > BLOCK_ROWS, F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    cut = keyed.join(shared, key).withColumn("side", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.col("h"), F.col("blocks"))).cast("int"))
     # a row of side s goes to the blocks (s, t) for all t; both sides of (s, s) are the same
     other = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     cut = cut.withColumn("other", F.explode(other))
     number = F.when(F.col("other") < 0, -1).otherwise(F.greatest("side", "other") * 100_000 + F.least("side", "other")).cast("int")
-    dealt = cut.withColumn("block", number).drop("blocks", "other").repartition(*key, "block").sortWithinPartitions(*key, "block")
+    cut = cut.withColumn("block", number).drop("blocks", "other").join(hashed, identity)
+    dealt = cut.select(*key, "block", "side", "cid", "n", "embedding", "codes").repartition(*key, "block").sortWithinPartitions(*key, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -196,10 +205,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = BITS
     out = persist(dealt.mapInArrow(tidy(run), "a long, b long, links long"))
     counts = out.filter("links is not null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     linked = components(out.filter("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
-    known = hashed.select("label", F.xxhash64("embedding").alias("h"), F.col("embedding").alias("e"), "cid", "n").join(counts, "cid", "left").join(linked, "cid", "left")
-    known = known.select(F.col("label").alias("l"), F.col("h").alias("k"), "e", "cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "cid").alias("component"))
-    good = rows.join(known, (F.col("label") == F.col("l")) & (F.col("h") == F.col("k")) & (F.col("embedding") == F.col("e")))
-    good = good.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    known = hashed.select(*identity, "cid", "n").join(counts, "cid", "left").join(linked, "cid", "left")
+    same = F.struct(*identity).alias("same")
+    known = known.select(same, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    good = join_hot(persist(rows.select("vec_id", same)), known, "same").select("vec_id", "n_links", "component_id")
     bad = vectors.filter(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

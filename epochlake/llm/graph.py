@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist
+from .common import join_hot, persist
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest node of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).filter("x <> y").select(F.col("y").alias("a"), F.col("x").alias("b")).distinct()
+    return join_hot(both.filter("b > a"), least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).filter("x <> y").select(F.col("y").alias("a"), F.col("x").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b), component being the smallest node that it reaches.
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014): the number of edges never grows, and the rounds grow
-    with the logarithm of the size of the largest component. Every round is written to the shared folder. Null ends, loops
-    and repeated edges are dropped; nodes without an edge don't appear. Raises if `most_rounds` don't suffice.
+    with the logarithm of the size of the largest component. Every round is written to the shared folder. A node with very
+    many neighbours is joined by a broadcast. Null ends, loops and repeated edges are dropped; nodes without an edge don't
+    appear. Raises if `most_rounds` don't suffice.
     """
     now = persist(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, mix64, persist, shingle_hashes, slices, texts_of, tidy
+from .common import WordHashes, join_hot, mix64, persist, shingle_hashes, slices, texts_of, tidy
 from .pairs import paired_texts
 
 #: Words of a passage, words in a shingle, least similarity, and hash functions.
@@ -333,10 +333,10 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shingle: int = SH
     mine = small(copies.filter("copy_of is not null").withColumnRenamed("key", "_key"))
     firsts = rows.join(mine, (F.col("key") == F.col("_key")) & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("copy_of"))), "left_anti").select("key", "text")
     pairs = persist(shared_windows(firsts, passage, shingle, hashes).groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
-    spans = verified_spans(firsts, pairs, passage, shingle, similarity)
+    spans = persist(verified_spans(firsts, pairs, passage, shingle, similarity))
     # a text's spans: at most one for each of its words, whatever number of others they were verified against
     smallest = classes.select(F.col("key").alias("other"), F.col("copy_of").alias("other_id"))
-    spans = persist(spans.join(smallest, "other").groupBy("text", "start").agg(F.max("end").alias("end"), F.min("other_id").alias("other_id")))
+    spans = persist(join_hot(spans, smallest, "other").groupBy("text", "start").agg(F.max("end").alias("end"), F.min("other_id").alias("other_id")))
     before = Window.partitionBy("text").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("text").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     islands = spans.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(upto))
@@ -346,9 +346,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shingle: int = SH
     sizes = firsts.join(small(copies.select("key")), "key", "left_semi").groupBy("key").agg(F.max(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long").alias("n_words")).filter(F.col("n_words") >= passage)
     whole = classes.join(sizes, "key").select("key", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("copy_of").alias("other"))).alias("passages"), F.col("n_words").alias("repeated_words"))
     every = persist(whole.unionByName(partial.join(whole, "key", "left_anti")).join(classes, "key").select("key", "copy_of", "n", "passages", "repeated_words"))
-    if every.count() <= BROADCAST_ROWS // 5:
-        every = F.broadcast(every)
-    return found.join(every, "key").select("doc_id", "copy_of", F.size("passages").alias("n_passages"), "repeated_words", "passages")
+    return join_hot(found, every, "key").select("doc_id", "copy_of", F.size("passages").alias("n_passages"), "repeated_words", "passages")
 
 
 def cut_passages(docs: DataFrame, passage: int = PASSAGE, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

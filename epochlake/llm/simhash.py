@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import column, fresh, persist, slices, texts_of, tidy
+from .common import column, fresh, join_hot, persist, slices, texts_of, tidy
 from .graph import components
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -191,11 +191,11 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 def label_groups(found: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """found(doc_id, fp) with component_id: the smallest `least` of nodes(fp, least) that chains of links(a, b) of fps reach."""
-    linked = components(links)
-    classes = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = classes.join(least, "component").select("fp", "component_id")
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    linked = persist(nodes.join(components(links).withColumnRenamed("node", "fp"), "fp"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    within = join_hot(linked, least, "component").select("fp", "component_id")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return join_hot(found, within.unionByName(alone), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
