@@ -178,7 +178,8 @@ def attach(docs: DataFrame, rows: DataFrame, keys: dict[str, Column], many: Data
             out = out & F.col(prefix + k).eqNullSafe(F.col(other + k))
         return out
 
-    single = left.join(hint(many), same("", "many_"), "left_anti").join(right.join(hint(many), same("_", "many_"), "left_anti"), same("", "_"))
+    # rows has about as many rows as docs: never to be broadcast, whatever its size is thought to be
+    single = left.join(hint(many), same("", "many_"), "left_anti").join(right.join(hint(many), same("_", "many_"), "left_anti").hint("merge"), same("", "_"))
     if many.isEmpty():
         return single.select("row", "payload")
 
