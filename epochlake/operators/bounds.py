@@ -13,8 +13,10 @@ SPAN = 1 << 26
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, which is counted now; else df, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df for a broadcast if it has at most `most` rows, which are fetched now, so that nothing computes them again; else df, for
+    a shuffled join."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
 
 def with_previous(rows: DataFrame, group: str, order: str, value: Column, out: str, span: int = SPAN, last_known: bool = False) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import shutil
 import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,13 @@ from ..functions.versions import key_sid
 from ..operators import blobs, changelog
 from ..schema import PARSE_CODES
 from ..sources.directory import BadDirectory, Catalog, Manifest
-from ..sources.wal import append_durable, durable_epoch, read_log, register, scan_reports
+from ..sources.wal import append_durable, durable_epoch, log_files, read_log, register, scan_reports
 from ..sources.wal_format import repaired
 
+COMPACTED_SUFFIX, PENDING = ".compacted", "compaction_pending"
+#: A file by which an online compaction is asked for.
+REQUEST = os.path.join("ctrl", "start_compaction")
+
 # Exit codes of inspections and repairs.
 OK, AUTO_REPAIRABLE, UNREPAIRABLE, REPAIR_FAILED = 0, 1, 2, 16
 
@@ -52,23 +58,26 @@ def repair(spark: SparkSession, path: str, to: str, epoch: int | None = None, cu
 
     Each file is copied and mended by the task that has it; only files with repairs are read whole.
     """
-    plan = repair_plan(spark, path, epoch, cut)
+    plan = repair_plan(spark, path, epoch, cut).select("file", "parse_code", "repairs").persist()
     millis = int(time.time() * 1000) if now is None else now
     shutil.copytree(path, to, ignore=lambda d, names: [n for n in names if d == path and n.startswith(WAL_PREFIX)])
 
     def apply(rows) -> None:
         for r in rows:
             target = os.path.join(to, r.file if len(r.file) > ACTIVE_WAL_LENGTH else f"{r.file}.{millis:014d}.0")
+            part = os.path.join(to, f".writing-{uuid.uuid4().hex}")  # another attempt of the task has another one
             if not r.repairs:
-                shutil.copyfile(os.path.join(path, r.file), target)
-                continue
-            with open(os.path.join(path, r.file), "rb") as f:
-                data = repaired(f.read(), [(x.offset, x.action) for x in r.repairs])
-            with open(target, "wb") as f:
-                f.write(data)
-
-    plan.select("file", "repairs").foreachPartition(apply)
+                shutil.copyfile(os.path.join(path, r.file), part)
+            else:
+                with open(os.path.join(path, r.file), "rb") as f:
+                    data = repaired(f.read(), [(x.offset, x.action) for x in r.repairs])
+                with open(part, "wb") as f:
+                    f.write(data)
+            os.replace(part, target)
+
+    plan.foreachPartition(apply)
     code = plan.agg(F.coalesce(F.max("parse_code"), F.lit(0))).first()[0]
+    plan.unpersist()
     if code == PARSE_CODES["ok"]:
         return "OK", OK
     if code in (PARSE_CODES["repaired"], PARSE_CODES["broken_after_marked"]):
@@ -117,7 +126,8 @@ def write_compacted(rows: DataFrame, path: str, parts: int = 1) -> list[str]:
     expect, or several, each with a range of keys. Readers of this library take any number."""
     register(rows.sparkSession)
     keyed = rows.withColumn("_sid", key_sid())
-    dealt = (keyed.coalesce(1) if parts == 1 else keyed.repartitionByRange(parts, "_sid")).sortWithinPartitions("_sid").drop("_sid")
+    # by a shuffle even for one file, so that the rows are resolved by many tasks and only written by one
+    dealt = (keyed.repartition(1) if parts == 1 else keyed.repartitionByRange(parts, "_sid")).sortWithinPartitions("_sid").drop("_sid")
     os.makedirs(path, exist_ok=True)
     dealt.write.format("epochlog").mode("append").option("suffix", ".compacted").save(path)
     return sorted(n for n in os.listdir(path) if n.endswith(".compacted"))
@@ -138,32 +148,115 @@ def compact_directory(spark: SparkSession, path: str, to: str, epoch: int | None
     return catalog
 
 
-def compact_online(spark: SparkSession, path: str, epoch: int, now: int | None = None) -> bool:
+def compact_offline(spark: SparkSession, path: str, epoch: int | None = None, parts: int = 1, work_dir: str | None = None, dry_run: bool = False, backup: bool = False, confirm: Callable[[str], bool] | None = None) -> Catalog | None:
+    """Puts a compacted directory in the place of a mounted one; its catalog, or None if `confirm`, asked with the working folder, says no.
+
+    The compacted directory is made beside the old one, or in `work_dir`, and takes its name when it is whole. With dry_run it
+    is made and thrown away; with backup the old one stays under another name. A link in the directory's place is refused.
+    """
+    path = path.rstrip("/")
+    if os.path.islink(path):
+        raise BadDirectory(f"{path} is a link")
+    beside = f"{path}.{int(time.time() * 1000):014d}"
+    work = work_dir or f"{beside}.work"
+    if os.path.isdir(work) and os.listdir(work):
+        raise BadDirectory(f"{work} isn't empty")
+    if confirm is not None and not confirm(work):
+        return None
+    try:
+        catalog = compact_directory(spark, path, work, epoch, parts)
+    except BaseException:
+        shutil.rmtree(work, ignore_errors=True)
+        raise
+    if dry_run:
+        shutil.rmtree(work)
+        return catalog
+    os.rename(path, f"{beside}.backup")
+    os.rename(work, path)
+    if not backup:
+        shutil.rmtree(f"{beside}.backup")
+    return catalog
+
+
+def settle_compaction(path: str) -> None:
+    """Ends or undoes an online compaction that was broken off: the catalog says whether the new compacted files count."""
+    pending = os.path.join(path, PENDING)
+    if not os.path.exists(pending):
+        return
+    with open(pending, encoding="utf-8") as f:
+        token, epoch, *new = f.read().split()
+    done = Catalog.read(path)
+    before = [n for n in os.listdir(path) if n.endswith(f"{COMPACTED_SUFFIX}.prev")]
+    if done.max_epoch == int(epoch) and set(done.files) == set(new):
+        for n in before:
+            os.unlink(os.path.join(path, n))
+    else:
+        for n in new:
+            if os.path.exists(os.path.join(path, n)) and (f"{n}.prev" in before or n not in done.files):
+                os.unlink(os.path.join(path, n))
+        for n in before:
+            os.replace(os.path.join(path, n), os.path.join(path, n.removesuffix(".prev")))
+    shutil.rmtree(os.path.join(path, f"compaction_temp-{token}"), ignore_errors=True)
+    os.unlink(pending)
+
+
+def compact_online(spark: SparkSession, path: str, epoch: int, now: int | None = None, parts: int = 1, boundary: tuple[int, int] | None = None, blob_root: str | None = None) -> bool:
     """Rotates a directory's logs and merges those not compacted yet, with the compacted file, into a new one. False if there is
-    nothing to do. The old compacted file stays until the catalog names the new one."""
+    nothing to do.
+
+    The old compacted file stays until the catalog names the new one; settle_compaction, which is called first, ends or undoes
+    what was broken off at any step. With a version boundary beyond the last compaction's epoch, and the folder of large
+    objects, those that no reader can see any more are deleted at the end.
+    """
+    settle_compaction(path)
     catalog = Catalog.read(path)
     rotate(path, epoch, now)
     names = set(os.listdir(path))
     wanted = {n for n in names if n.startswith(WAL_PREFIX) and len(n) > ACTIVE_WAL_LENGTH and not n.endswith(".prev")} - catalog.detached
-    if not wanted or wanted <= {n for n in names if n.endswith(".compacted")}:
+    if not wanted or wanted <= {n for n in names if n.endswith(COMPACTED_SUFFIX)}:
         return False
     log = read_log(spark, path, epoch, files=sorted(wanted))
     max_blob = max(catalog.max_blob, blobs.max_blob_id(log).first()[0])
-    fresh = os.path.join(path, f"compaction_temp-{epoch}")
-    written = write_compacted(changelog.compact(log, epoch), fresh)
-    old = [n for n in names if n.endswith(".compacted")]
+    gone = None
+    if boundary is not None and blob_root is not None and boundary[0] > catalog.max_epoch:
+        found = blobs.blob_files(log_files(spark, f"{blob_root}/dir_*", "*.blob", content=False))
+        gone = blobs.gc_at_compaction(log, epoch, boundary, found, max_blob, catalog.max_epoch)
+    token = uuid.uuid4().hex[:12]
+    fresh = os.path.join(path, f"compaction_temp-{token}")
+    written = write_compacted(changelog.compact(log, epoch), fresh, parts)
+    if gone is not None:
+        delete_blobs(gone, blob_root)  # decided by the logs, which are all still there
+    with open(os.path.join(path, PENDING), "w", encoding="utf-8") as f:
+        f.write(" ".join([token, str(epoch), *written]))
+        f.flush()
+        os.fsync(f.fileno())
+    old = [n for n in names if n.endswith(COMPACTED_SUFFIX)]
     for n in old:
         os.replace(os.path.join(path, n), os.path.join(path, f"{n}.prev"))
     for n in written:
         os.replace(os.path.join(fresh, n), os.path.join(path, n))
-    shutil.rmtree(fresh)
     done = (catalog.detached & names) | (wanted - set(old))
     Catalog(epoch, max_blob, dict.fromkeys(written, 1), done).write(path)
-    for n in old:
-        os.unlink(os.path.join(path, f"{n}.prev"))
+    settle_compaction(path)
     return True
 
 
+def request_compaction(path: str) -> None:
+    """Asks whoever has a mounted directory open for an online compaction."""
+    os.makedirs(os.path.join(path, os.path.dirname(REQUEST)), exist_ok=True)
+    with open(os.path.join(path, REQUEST), "w", encoding="utf-8"):
+        pass
+
+
+def compact_if_asked(spark: SparkSession, path: str, epoch: int, **options) -> bool:
+    """An online compaction if one was asked for; the request is taken back first, so that a later one counts anew."""
+    try:
+        os.unlink(os.path.join(path, REQUEST))
+    except FileNotFoundError:
+        return False
+    return compact_online(spark, path, epoch, **options)
+
+
 def delete_detached(path: str) -> list[str]:
     """Deletes logs that the catalog says are in the compacted file."""
     gone = sorted(n for n in Catalog.read(path).detached if os.path.exists(os.path.join(path, n)))

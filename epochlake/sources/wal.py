@@ -14,9 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.names import ACTIVE_WAL_LENGTH, EPOCH, WAL_PREFIX, base_name, is_epoch_file, is_wal
-from ..functions.versions import signed
-from ..schema import CHANGE_LOG, PARSE_CODES, SCAN_REPORT, VALID
-from .wal_format import DamagedLog, Scan, durable_of, entry, judge, marker, settled
+from ..functions.text import ascii_preview
+from ..functions.versions import display, signed
+from ..schema import CHANGE_LOG, PARSE_CODES, POINTS, PUTS, SCAN_REPORT, VALID
+from .wal_format import DamagedLog, Scan, durable_of, entry, judge, marker, records, settled
 
 #: Rows of a batch that the decoder hands on.
 BATCH_ROWS = 4096
@@ -57,7 +58,10 @@ def decode(name: str, data: bytes, durable: int, most_epoch: int | None = None,
 
 
 def log_files(spark: SparkSession, path: str, pattern: str = "*", content: bool = True) -> DataFrame:
-    """(name, path, length, content) of the files of a directory in any store that Spark reads; no rows if none match."""
+    """(name, path, length, content) of the files of a directory in any store that Spark reads; no rows if none match.
+
+    Spark holds a file's content as one value, below 2 GB; a larger file is an error, so rotate before.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     columns = [base_name("path").alias("name"), "path", "length", *(["content"] if content else [])]
     return found.select(*columns)
@@ -76,7 +80,7 @@ def read_log(spark: SparkSession, path: str, durable: int | None = None, files:
     durable is the directory's own if not given; files restricts to these names; see decode for the other options.
     """
     durable = durable_epoch(spark, path) if durable is None else durable
-    wals = log_files(spark, path, f"{WAL_PREFIX}*")
+    wals = log_files(spark, path, f"{WAL_PREFIX}*").filter(~F.col("name").endswith(".prev"))
     if files is not None:
         wals = wals.filter(F.col("name").isin(files))
     columns = options.get("columns") or CHANGE_LOG.names
@@ -109,6 +113,44 @@ def scan_reports(spark: SparkSession, path: str, durable: int | None = None, pol
     return log_files(spark, path, f"{WAL_PREFIX}*").filter(is_wal("name")).select("name", "content").mapInArrow(run, schema)
 
 
+def dump(spark: SparkSession, path: str, pattern: str = f"{WAL_PREFIX}*") -> DataFrame:
+    """(file, offset, entry_type, epoch_id, epoch, storage_id, key, value) of every record of the files, markers included.
+
+    epoch_id is a marker's own epoch, epoch that of the last begin marker before or at the record, but for begin markers. A file
+    that ends with a record that can't be read has a last row of type torn or unknown.
+    """
+    schema = "file string, offset long, entry_type string, epoch_id long, epoch long, storage_id long, key binary, value binary"
+    heads = ("marker_begin", "marker_invalidated_begin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                name, epoch, rows = b.column("name")[i].as_py(), None, []
+                for r in records(b.column("content")[i].as_buffer()):
+                    marks, point = r.kind.startswith("marker"), r.kind in POINTS
+                    if r.kind in heads and not r.torn:
+                        epoch = r.epoch
+                    kind = "torn" if r.torn else r.kind
+                    sound = not r.torn and r.kind != "unknown"
+                    rows.append((name, r.offset, kind, signed(r.epoch) if marks and sound else None, None if r.kind == "marker_begin" or epoch is None else signed(epoch), signed(r.storage_id) if sound and not marks else None, r.key if point and sound else None, r.value if r.kind in PUTS and sound else None))
+                    if len(rows) == BATCH_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    names = ["file", "offset", "entry_type", "epoch_id", "epoch", "storage_id", "key", "value"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return log_files(spark, path, pattern).select("name", "content").mapInArrow(run, schema)
+
+
+def dump_lines(dumped: DataFrame) -> DataFrame:
+    """(file, offset, line) of a dump: type, epochs, storage, and the first bytes of key and value as ASCII."""
+    shown = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f" {label}="), c.cast("string"))).otherwise(F.lit(""))
+    parts = [F.col("entry_type"), shown("epoch_id", display("epoch_id")), shown("epoch", display("epoch")), shown("storage_id", display("storage_id")), shown("key", ascii_preview("key")), shown("value", ascii_preview("value"))]
+    return dumped.select("file", "offset", F.concat(*parts).alias("line"))
+
+
 def report(name: str, data: bytes, durable: int, policy: str = "report", assume_detached: bool = False) -> dict:
     """One file's scan_report as a dictionary, with `repairs`."""
     scan = Scan(data, durable)
@@ -219,6 +261,10 @@ class LogWriter(DataSourceWriter):
         done = [m for m in messages if m is not None]
         taken = {int(n[len(WAL_PREFIX) : ACTIVE_WAL_LENGTH]) for n in os.listdir(self.path) if n.startswith(WAL_PREFIX) and n[len(WAL_PREFIX) : ACTIVE_WAL_LENGTH].isdigit()}
         number = max(taken, default=-1)
+        files = sum(len(m.files) for m in done)
+        if number + files >= 10 ** (ACTIVE_WAL_LENGTH - len(WAL_PREFIX)) and not self.suffix:
+            self.abort(messages)
+            raise ValueError(f"{files} logs more than {number + 1}: a longer number would read as that of a log set aside; rotate first")
         for name in (f for m in done for f in m.files):
             number += 1
             os.rename(os.path.join(self.path, name), os.path.join(self.path, f"{WAL_PREFIX}{number:04d}{self.suffix}"))
