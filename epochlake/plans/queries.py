@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import job_queries  # noqa: F401 - registers more
+
     return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -61,11 +66,22 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def _work_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; a temporary one only where none is set."""
+    """A new folder in the one that the cluster shares; a temporary one only where none is set and all is on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     return f"{named or tempfile.mkdtemp(prefix='epochlake-')}/{uuid.uuid4().hex}"
 
 
+def _mounted_dir(spark: SparkSession) -> str:
+    """A new folder for log files, by its path; the shared folder must be one that all nodes mount."""
+    url = urlparse(_work_dir(spark))
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"logs are written to mounted paths only, not to {url.scheme}://")
+    os.makedirs(url.path)
+    return url.path
+
+
 @query(f"WITH {SNAPSHOT_SQL} SELECT storage_id, key, major, minor, value FROM l")
 def snapshot_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the rows that live at the durable epoch."""
@@ -123,11 +139,7 @@ SELECT CAST(cap AS BIGINT) AS as_of, storage_id, key, value FROM n WHERE nth = 1
 )
 def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, e = _log(spark, sf_dir)
-    out = None
-    for cap in (e // 4, e // 2, e):
-        one = changelog.snapshot(changelog.as_of(log, cap), cap).select(F.lit(cap).cast("long").alias("as_of"), "storage_id", "key", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return changelog.snapshots_at(log, [e // 4, e // 2, e]).select("as_of", "storage_id", "key", "value")
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,15 +391,9 @@ def replica_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replica.read().select(*KV)
 
 
-def _as_wal(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    """Writes the events log in the binary format to a folder that all nodes mount; (path, durable epoch)."""
-    import os
-    from urllib.parse import urlparse
-
-    log, e = _log(spark, sf_dir)
-    path = urlparse(_work_dir(spark)).path
-    os.makedirs(path)
-    register(spark)
+def write_wal(log: DataFrame, path: str) -> None:
+    """Appends an events log to a mounted folder in the binary format, each storage's entries in one file."""
+    register(log.sparkSession)
     rows = log.select(
         F.lit(None).cast("string").alias("file"),
         F.col("seq").alias("offset"),
@@ -403,17 +409,33 @@ def _as_wal(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
         "blob_ids",
     )
     rows.repartition("storage_id").sortWithinPartitions("offset").write.format("epochlog").mode("append").save(path)
-    with open(f"{path}/{EPOCH}", "wb") as f:  # the tail isn't durable
-        f.write(marker("marker_durable", e))
+
+
+def set_durable(path: str, epoch: int) -> None:
+    with open(f"{path}/{EPOCH}", "wb") as f:
+        f.write(marker("marker_durable", epoch))
+
+
+def _as_wal(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The events log in the binary format in a new mounted folder, its tail not durable; (path, durable epoch)."""
+    log, e = _log(spark, sf_dir)
+    path = _mounted_dir(spark)
+    write_wal(log, path)
+    set_durable(path, e)
     return path, e
 
 
+def plain(rows: DataFrame) -> DataFrame:
+    """Rows that were read from binary logs, with the key and the value that the events had."""
+    return rows.withColumn("key", u64_of("key")).withColumn("value", F.col("value").cast("string").cast("double"))
+
+
 @query(f"WITH {SNAPSHOT_SQL} SELECT storage_id, key, major, minor, value FROM l")
 def wal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events written as binary logs, read back, and resolved: the live snapshot."""
     path, e = _as_wal(spark, sf_dir)
     live = changelog.snapshot(read_log(spark, f"file://{path}"), e)
-    return live.select("storage_id", u64_of("key").alias("key"), "major", "minor", F.col("value").cast("string").cast("double").alias("value"))
+    return plain(live).select(*KV)
 
 
 @query(f"WITH {SNAPSHOT_SQL} SELECT (SELECT e FROM ld) AS durable_epoch, (SELECT max(snippet_epoch) FROM log) AS max_appeared_epoch, count(*) AS count_durable_wal_entries, 'auto-repairable' AS status, 1 AS rc FROM d WHERE entry_type IN ('normal_entry', 'remove_entry')")

@@ -60,7 +60,8 @@ def decode(name: str, data: bytes, durable: int, most_epoch: int | None = None,
 def log_files(spark: SparkSession, path: str, pattern: str = "*", content: bool = True) -> DataFrame:
     """(name, path, length, content) of the files of a directory in any store that Spark reads; no rows if none match.
 
-    Spark holds a file's content as one value, below 2 GB; a larger file is an error, so rotate before.
+    Spark leaves out files of no bytes, and holds a file's content as one value, below 2 GB; a larger file is an error, so
+    rotate before.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     columns = [base_name("path").alias("name"), "path", "length", *(["content"] if content else [])]
