@@ -24,7 +24,7 @@ HOT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own where that is unset and all is on one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
@@ -33,10 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="epochlake-"))
     return sc.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store, if it is there."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def persist(df: DataFrame, eager: bool = True) -> DataFrame:
     """df, written to the shared folder and cut from its lineage."""
     shared_dir(df.sparkSession)

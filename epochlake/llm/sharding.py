@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import attach, persist, running
 
-SHARDS, ROUNDS = 24, 3
+#: Shards, and rounds of propagation at most; it ends sooner when no follower finds a place.
+SHARDS, ROUNDS = 24, 12
 #: Rows of one shard or group that are numbered by one task.
 BUCKET_ROWS = 20_000
 

@@ -56,3 +56,41 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert Counter((x.doc_id, zlib.crc32(x.text.encode())) for x in last) == Counter((x.doc_id, zlib.crc32(x.text.encode())) for x in seen["source_mixing"])
     sizes = Counter(x["shard"] for x in last)
     assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "one two three four five six seven " * 60_000
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n", "en", "a", 2), (None, "plain words", "en", None, 11), (None, "plain words", "en", None, 11), (4, long, "en", "b", len(long)), (5, "same text here " * 9, "en", "b", 0), (5, "same text here " * 9, "en", "b", 0), (6, "same text here " * 9, None, "a", 0)]
+    extra = [(*r, i, "k", b"m") for i, r in enumerate(rows)]
+    for name, docs in (("rows", spark.createDataFrame(extra, schema + ", _key int, shard string, mark binary")), ("none", spark.createDataFrame([], schema))):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        seen = {}
+        for stage, function in p.STAGES:
+            function(spark, docs, d).write.parquet(f"{d}/{stage}")
+            docs = spark.read.parquet(f"{d}/{stage}")
+            assert docs.columns[:5] == p.COLUMNS
+            seen[stage] = docs.collect()
+        if name == "none":
+            assert not any(seen.values())
+            continue
+        assert len(seen["toxicity"]) == len(rows)
+        kept = Counter(x.doc_id for x in seen["simhash_near_dedup"])
+        assert kept == {1: 1, None: 2, 4: 1, 5: 1}
+        assert seen["benchmark_decontamination"] and len(seen["benchmark_decontamination"]) == 5
+        assert {x.doc_id for x in seen["source_mixing"]} == {None, 4, 5}
+        assert len(seen["balanced_sharding"]) == len(seen["source_mixing"])
+
+
+def test_run_leaves_one_folder(spark, tmp_path, sf_dir):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from epochlake.llm.common import shared_dir
+
+    where = Path(urlparse(shared_dir(spark)).path)
+    before = set(where.glob("pipeline-*"))
+    assert p.run(spark, sf_dir).count()
+    assert len(set(where.glob("pipeline-*")) - before) == 1
