@@ -17,7 +17,8 @@ from ..sources.directory import Catalog, Manifest, catalog_rows, manifests, set_
 from ..sources.wal import append_durable, dump, dump_lines, durable_epoch, log_files, read_log, scan_reports
 from . import maintenance, recovery
 from .mapping import EVENTS_SQL, durable_epoch_of, events_log
-from .queries import _BLOB_FILES, _FILES, SNAPSHOT_SQL, _as_wal, _blob_files, _files, _log, _mounted_dir, plain, query, set_durable, write_wal
+from .queries import _BLOB_FILES, _FILES, SNAPSHOT_SQL, _as_wal, _blob_files, _files, _log, _mounted_dir, plain, query, set_durable, wal_rows, write_wal
+from .store import CompactionOptions, Configuration, Store
 
 LIVE = ["storage_id", "key", "value"]
 MANIFEST = f"x{MANIFEST_SUFFIX}"
@@ -314,6 +315,24 @@ def restored_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(changelog.snapshot(read_log(spark, f"file://{to}"), e)).select("storage_id", "key", "major", "minor", "value")
 
 
+@query(_LIVE_SQL)
+def store_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is opened, written to twice, compacted in between, shut down and opened again."""
+    log, e = _log(spark, sf_dir)
+    rows = wal_rows(log)
+    configuration = Configuration(os.path.join(_mounted_dir(spark), "log"))
+    first = Store(spark, configuration)
+    first.ready()
+    first.write(rows.filter(F.col("snippet_epoch") <= e // 2))
+    first.compact(CompactionOptions(parts=2))
+    first.write(rows.filter((F.col("snippet_epoch") > e // 2) & (F.col("snippet_epoch") <= e)))
+    first.shutdown()
+    again = Store(spark, configuration)
+    found = again.ready()
+    again.shutdown()
+    return plain(found.rows).select(*LIVE)
+
+
 @query(
     f"""WITH {SNAPSHOT_SQL}, {_BLOB_FILES}, p AS (SELECT d.*, major < e // 2 AS low FROM d, ld WHERE entry_type = 'normal_with_blob'),
 t AS (SELECT *, row_number() OVER (PARTITION BY low, storage_id, key ORDER BY major DESC, minor DESC) AS nth FROM p),

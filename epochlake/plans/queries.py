@@ -391,10 +391,9 @@ def replica_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replica.read().select(*KV)
 
 
-def write_wal(log: DataFrame, path: str) -> None:
-    """Appends an events log to a mounted folder in the binary format, each storage's entries in one file."""
-    register(log.sparkSession)
-    rows = log.select(
+def wal_rows(log: DataFrame) -> DataFrame:
+    """An events log in the schema of log files."""
+    return log.select(
         F.lit(None).cast("string").alias("file"),
         F.col("seq").alias("offset"),
         F.lit(0).alias("snippet_no"),
@@ -408,7 +407,12 @@ def write_wal(log: DataFrame, path: str) -> None:
         F.col("value").cast("string").cast("binary").alias("value"),
         "blob_ids",
     )
-    rows.repartition("storage_id").sortWithinPartitions("offset").write.format("epochlog").mode("append").save(path)
+
+
+def write_wal(log: DataFrame, path: str) -> None:
+    """Appends an events log to a mounted folder in the binary format, each storage's entries in one file."""
+    register(log.sparkSession)
+    wal_rows(log).repartition("storage_id").sortWithinPartitions("offset").write.format("epochlog").mode("append").save(path)
 
 
 def set_durable(path: str, epoch: int) -> None:
