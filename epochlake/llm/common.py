@@ -142,7 +142,8 @@ def running(df: DataFrame, key: str, order: list[str], weight: str, out: str, bu
     before = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col(key).alias("_key"), F.col(b).alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(base))
     inside = Window.partitionBy(key, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    # dealt anew: rows that lie by their key alone would satisfy the window, too, with one task for a hot key
+    local = rows.repartition(key, b).withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     joined = local.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col(b) == F.col("_b")), "left")
     return joined.withColumn(out, F.col(out) + F.col(base)).drop(b, base, "_key", "_b")
 

@@ -146,7 +146,7 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
                     at = permuted(slot % blocks[source], int(blocks[source]), seed * 1_000_003 + source)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, "i4")), pa.array(np.full(n, source, "i4")), pa.array(slot), pa.array(at)], ["shard", "source_id", "slot", "block"])
 
-    buckets = max(16, -(-max([r.n for r in found], default=0) // BUCKET_ROWS))
+    buckets = max(64, -(-max([r.n for r in found], default=0) // BUCKET_ROWS))
     placed = running(rows, "source", ["doc_id", "mark"], "size", "start", buckets)
     named = sources.select(F.col("source").alias("_source"), "source_id", "block_words")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
