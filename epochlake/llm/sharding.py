@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, join_hot, persist, running
+from .common import BROADCAST_KEYS, attach, join_hot, persist, running
 
 #: Shards, and rounds of propagation at most; it ends sooner when no follower finds a place.
 SHARDS, ROUNDS = 24, 12
@@ -187,14 +187,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     groups = persist(nodes.groupBy("mark").agg(F.min("node").alias("a"), F.count("*").alias("n")))
     links = join_hot(nodes.select("node", "mark"), groups.filter("n > 1"), "mark").select("a", F.col("node").alias("b"))
     counts = {r["n"]: r["c"] for r in groups.groupBy("n").agg(F.count("*").alias("c")).collect()}  # sizes: at most the root of twice the rows
-    plan = docs.sparkSession.createDataFrame(pack(counts, shards), "_n long, _first long, _end long, shard int, _from long, _until long")
+    places = pack(counts, shards)
+    plan = docs.sparkSession.createDataFrame(places, "_n long, _first long, _end long, shard int, _from long, _until long")
     dealt = _numbered(groups.select("mark", "n"), "n", ["mark"], "group", buckets)
     dealt = persist(dealt)
     grouped = persist(join_hot(nodes.select("node", "mark"), dealt, "mark"))
     many = _numbered(grouped.filter("n > 1"), "mark", ["node"], "nth", buckets)
     each = many.unionByName(grouped.filter("n = 1").withColumn("nth", F.lit(0).cast("long")))
     fits = (F.col("n") == F.col("_n")) & F.col("group").between(F.col("_first"), F.col("_end") - 1) & F.col("nth").between(F.col("_from"), F.col("_until") - 1)
-    start = each.join(F.broadcast(plan), fits).select("node", "shard")
+    start = each.join(F.broadcast(plan) if len(places) <= BROADCAST_KEYS else plan, fits).select("node", "shard")
     placed = nodes.join(propagate(start, links, shards, rounds), "node")
     return _numbered(placed, "shard", ["node"], "slot", max(4, buckets // 8)).drop("node")
 
