@@ -287,12 +287,12 @@ def verified_spans(texts: DataFrame, pairs: DataFrame, passage: int, shingle: in
     span = passage - shingle + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
 
         def hashed(text: bytes) -> np.ndarray:
-            words = np.array([cache[w] for w in text.lower().split()], dtype=np.uint64)
-            return shingle_hashes(words, np.array([len(words)]), shingle)[0]
+            # Python's own 64-bit hashes serve here, as both texts are in one process
+            words = text.lower().split()
+            return shingle_hashes(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), np.array([len(words)]), shingle)[0]
 
         for part in slices(batches, "text_a"):
             out: list[tuple[int, int, int, int]] = []
