@@ -18,6 +18,17 @@ def base_name(path: ColumnOrName) -> Column:
     return F.regexp_extract(_col(path), r"([^/]*)$", 1)
 
 
+def without_trailing_separators(path: ColumnOrName) -> Column:
+    """The path without slashes at its end; the root stays."""
+    return F.when(_col(path).rlike("^/+$"), F.lit("/")).otherwise(F.regexp_replace(_col(path), "/+$", ""))
+
+
+def parent(path: ColumnOrName) -> Column:
+    """The folder that a path lies in; empty for a name alone."""
+    clean = without_trailing_separators(path)
+    return F.when(clean.rlike("^/[^/]*$"), F.lit("/")).otherwise(F.regexp_replace(F.regexp_replace(clean, "[^/]*$", ""), "/+$", ""))
+
+
 def is_wal(name: ColumnOrName) -> Column:
     return _col(name).startswith(WAL_PREFIX)
 

@@ -15,6 +15,12 @@ def referenced(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("blob_ids").alias("blob_id")).filter("blob_id is not null").distinct()
 
 
+def ids_in_order(rows: DataFrame, *group: str) -> DataFrame:
+    """(*group, blob_ids): the distinct ids of each group's rows, in unsigned order. For groups whose ids fit in one row."""
+    each = rows.select(*group, F.explode("blob_ids").alias("id")).filter("id is not null")
+    return each.groupBy(*group).agg(F.transform(F.array_sort(F.collect_set(unsigned("id"))), unsigned).alias("blob_ids"))
+
+
 def max_blob_id(log: DataFrame, known: int = 0) -> DataFrame:
     """(max_blob_id): the largest id that any entry names, `known` at least; by it new ids are given. Unsigned order."""
     most = log.select(F.array_max(F.transform("blob_ids", unsigned)).alias("m")).agg(F.max("m").alias("m"))

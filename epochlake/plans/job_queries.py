@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import MANIFEST_SUFFIX, blob_path, endpoint, rotated_parts, rotated_wal_name
+from ..functions.names import MANIFEST_SUFFIX, base_name, blob_path, endpoint, parent, rotated_parts, rotated_wal_name, without_trailing_separators
 from ..functions.text import ascii_preview, escaped, hex_preview
 from ..functions.versions import display, key_sid, split_key_sid, u32_bytes, u64_bytes, u64_of, unsigned
 from ..operators import blobs, changelog, files
 from ..sources.blob_store import BlobPool, copy_blobs
 from ..sources.directory import Catalog, Manifest, catalog_rows, manifests, set_up
-from ..sources.wal import append_durable, dump, dump_lines, durable_epoch, log_files, read_log, scan_reports
+from ..sources.wal import append_durable, dump, dump_lines, durable_epoch, log_files, read_log, scan_reports, strict_entries
 from . import maintenance, recovery
 from .mapping import EVENTS_SQL, durable_epoch_of, events_log
 from .queries import _BLOB_FILES, _FILES, SNAPSHOT_SQL, _as_wal, _blob_files, _files, _log, _mounted_dir, plain, query, set_durable, wal_rows, write_wal
@@ -41,6 +41,26 @@ def wal_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.groupBy("entry_type", "epoch", "storage_id").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {EVENTS_SQL} SELECT count(*) AS n_entries, true AS paired FROM log")
+def wal_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound logs by a reading that refuses all others; their markers come in pairs."""
+    path, _ = _as_wal(spark, sf_dir)
+    return strict_entries(spark, f"file://{path}").agg(F.sum("entries").alias("n_entries"), F.every(F.col("markers") % 2 == 0).alias("paired"))
+
+
+@query(f"WITH {EVENTS_SQL}, {_BLOB_FILES}, s AS (SELECT DISTINCT storage_id, unnest([blob_a, blob_b]) AS b FROM log WHERE entry_type = 'normal_with_blob') SELECT storage_id, CAST(list(b ORDER BY b) AS VARCHAR) AS ids FROM s GROUP BY storage_id")
+def blob_ids_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blobs.ids_in_order(events_log(spark, sf_dir), "storage_id")
+    return found.select("storage_id", F.concat(F.lit("["), F.array_join(F.transform("blob_ids", lambda x: x.cast("string")), ", "), F.lit("]")).alias("ids"))
+
+
+@query(f"WITH {EVENTS_SQL}, {_FILES} SELECT DISTINCT '/log/a/' || name AS path, name, '/log/a' AS folder FROM fs")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/log/a/"), F.col("name"), F.lit("//"))
+    clean = without_trailing_separators(path)
+    return _files(spark, sf_dir)[0].select(clean.alias("path"), base_name(clean).alias("name"), parent(path).alias("folder"))
+
+
 @query(f"WITH {EVENTS_SQL} SELECT entry_type || ' epoch=' || snippet_epoch || ' storage_id=' || storage_id AS line, count(*) AS n FROM log WHERE entry_type = 'clear_storage' GROUP BY ALL")
 def wal_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = _as_wal(spark, sf_dir)

@@ -17,7 +17,7 @@ from ..functions.names import ACTIVE_WAL_LENGTH, EPOCH, WAL_PREFIX, base_name, i
 from ..functions.text import ascii_preview
 from ..functions.versions import display, signed
 from ..schema import CHANGE_LOG, PARSE_CODES, POINTS, PUTS, SCAN_REPORT, VALID
-from .wal_format import DamagedLog, Scan, durable_of, entry, judge, marker, records, settled
+from .wal_format import DamagedLog, Scan, durable_of, entry, judge, marker, records, settled, strict_records
 
 #: Rows of a batch that the decoder hands on.
 BATCH_ROWS = 4096
@@ -145,6 +145,18 @@ def dump(spark: SparkSession, path: str, pattern: str = f"{WAL_PREFIX}*") -> Dat
     return log_files(spark, path, pattern).select("name", "content").mapInArrow(run, schema)
 
 
+def strict_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, entries, markers) of each log file, by a reading that refuses any record it can't make out (DamagedLog)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                kinds = [r.kind.startswith("marker") for r in strict_records(b.column("content")[i].as_buffer())]
+                yield pa.RecordBatch.from_pydict({"file": [b.column("name")[i].as_py()], "entries": [len(kinds) - sum(kinds)], "markers": [sum(kinds)]})
+
+    return log_files(spark, path, f"{WAL_PREFIX}*").select("name", "content").mapInArrow(run, "file string, entries long, markers long")
+
+
 def dump_lines(dumped: DataFrame) -> DataFrame:
     """(file, offset, line) of a dump: type, epochs, storage, and the first bytes of key and value as ASCII."""
     shown = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f" {label}="), c.cast("string"))).otherwise(F.lit(""))

@@ -59,3 +59,11 @@ def test_tags(spark):
             wanted = struct.unpack("<Q", hmac.new(secret, struct.pack("<QQ", blob, 9), hashlib.sha256).digest()[:8])[0]
             assert reference_tag_of(blob, 9, secret) == wanted
             assert one(spark, reference_tag(F.lit(signed(blob)).cast("long"), F.lit(9).cast("long"), secret)) == signed(wanted)
+
+
+def test_folders_of_paths(spark):
+    from epochlake.functions.names import parent, without_trailing_separators
+
+    rows = spark.createDataFrame([(p,) for p in ("/a/b//", "a", "/a", "//", "a/b/c", "/")], "p string")
+    got = [tuple(r) for r in rows.select(without_trailing_separators("p"), parent("p")).collect()]
+    assert got == [("/a/b", "/a"), ("a", ""), ("/a", "/"), ("/", "/"), ("a/b/c", "a/b"), ("/", "/")]

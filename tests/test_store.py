@@ -70,3 +70,22 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     s.write(rows)
     assert s.snapshot().count() == 39
     s.shutdown()
+
+
+@pytest.mark.parametrize("wait", [True, False])
+def test_a_replica_follows_the_store(spark, tmp_path, wait):
+    from epochlake.streaming.replica import Replica
+
+    replica = Replica(spark, str(tmp_path / "replica"))
+    s = Store(spark, Configuration(str(tmp_path / "log")), replica, wait)
+    s.ready()
+    for epoch in (1, 2, 3):
+        s.write(change_log(spark, [(0, epoch, "put", 1, "a", f"v{epoch}", (epoch, 0)), (0, epoch, "put", 1, f"k{epoch}", "x", (epoch, 1))]))
+    s.settle()
+    assert replica.committed() == 3 and pairs(replica.read()) == pairs(s.snapshot()) == {"1/a": "v3", "1/k1": "x", "1/k2": "x", "1/k3": "x"}
+    s.replica.apply = lambda rows, epoch: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        s.write(change_log(spark, [(0, 4, "put", 1, "z", "w", (4, 0))]))
+        s.settle()
+    assert s.replica is None and s.snapshot().count() == 5 and replica.committed() == 3
+    s.shutdown()
