@@ -19,8 +19,8 @@ from ..functions.versions import display, signed
 from ..schema import CHANGE_LOG, PARSE_CODES, POINTS, PUTS, SCAN_REPORT, VALID
 from .wal_format import DamagedLog, Scan, durable_of, entry, judge, marker, records, settled, strict_records
 
-#: Rows of a batch that the decoder hands on.
-BATCH_ROWS = 4096
+#: Rows of a batch that the decoder hands on; unsigned values from here on are negative longs.
+BATCH_ROWS, _HALF = 4096, 1 << 63
 
 
 def decode(name: str, data: bytes, durable: int, most_epoch: int | None = None, on_damage: str = "fail", on_nondurable: str = "keep", columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
@@ -35,16 +35,18 @@ def decode(name: str, data: bytes, durable: int, most_epoch: int | None = None,
     rows: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in zip(pick, schema.types, strict=True)], schema=schema)
 
     pick = [CHANGE_LOG.names.index(c) for c in names]
     for r, number, epoch, state in scan.entries():
         if most_epoch is not None and epoch > most_epoch or on_nondurable == "skip" and state != VALID:
             continue
-        point = r.kind in ("normal_entry", "normal_with_blob", "remove_entry")
-        put = r.kind in ("normal_entry", "normal_with_blob")
-        row = (name, r.offset, number, signed(epoch), state, r.kind, signed(r.storage_id), r.key if point else None, signed(r.major), signed(r.minor), r.value if put else None, [signed(b) for b in r.blob_ids])
-        rows.append(tuple(row[i] for i in pick))
+        kind, storage, major, minor = r.kind, r.storage_id, r.major, r.minor
+        rows.append((
+            name, r.offset, number, epoch if epoch < _HALF else signed(epoch), state, kind, storage if storage < _HALF else signed(storage), r.key if kind in POINTS else None,
+            major if major < _HALF else signed(major), minor if minor < _HALF else signed(minor), r.value if kind in PUTS else None, [signed(b) for b in r.blob_ids] if r.blob_ids else [],
+        ))
         if len(rows) == BATCH_ROWS:
             yield batch()
             rows.clear()
