@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -45,10 +46,26 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints that nothing refers to any more: it does so when the driver's heaps are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Tables that are written before the ones that nothing needs any more are swept away.
+SWEEP_EVERY = 4
+_written = itertools.count(1)
+
+
 def persist(df: DataFrame, eager: bool = True) -> DataFrame:
     """df, written to the shared folder and cut from its lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    out = df.checkpoint(eager)
+    if next(_written) % SWEEP_EVERY == 0:
+        sweep(df.sparkSession)
+    return out
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:

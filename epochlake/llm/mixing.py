@@ -146,7 +146,7 @@ def mix_plan(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
                     at = permuted(slot % blocks[source], int(blocks[source]), seed * 1_000_003 + source)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, "i4")), pa.array(np.full(n, source, "i4")), pa.array(slot), pa.array(at)], ["shard", "source_id", "slot", "block"])
 
-    buckets = max(64, -(-max([r.n for r in found], default=0) // BUCKET_ROWS))
+    buckets = max(512, -(-max([r.n for r in found], default=0) // BUCKET_ROWS))
     placed = running(rows, "source", ["doc_id", "mark"], "size", "start", buckets)
     named = sources.select(F.col("source").alias("_source"), "source_id", "block_words")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -162,7 +162,8 @@ def taken_pieces(placed: DataFrame, slots: DataFrame) -> DataFrame:
     held = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / n).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / n).cast("long"))))
     held = held.withColumn("at", F.greatest(F.col("block") * n, F.col("start")) - F.col("start"))
     held = held.withColumn("words", F.least((F.col("block") + 1) * n, F.col("start") + F.col("size")) - F.col("start") - F.col("at")).drop("block_words")
-    return held.join(uses, ["source_id", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # slots look small to Spark, which made them from a range, but are as many as the words that are taken
+    return held.join(uses.hint("merge"), ["source_id", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def mix_sizes(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = 0) -> DataFrame:

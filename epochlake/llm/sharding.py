@@ -76,7 +76,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     links(a, b) may repeat and hold loops.
     """
     total = nodes.count()
-    buckets = max(8, -(-total // (BUCKET_ROWS * 8)))
+    buckets = max(64, -(-total // (BUCKET_ROWS * 8)))
     pairs = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
@@ -182,7 +182,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     and repeated rows each have a place of their own. Other columns are ignored. `mark` is the text's MD5. No rows: no rows.
     """
     rows = persist(_narrow(docs))
-    buckets = max(64, -(-rows.count() // BUCKET_ROWS))
+    buckets = max(512, -(-rows.count() // BUCKET_ROWS))
     nodes = persist(_numbered(rows.withColumn("_all", F.lit(0)), "_all", ["mark", "doc_id"], "node", buckets).drop("_all"))
     groups = persist(nodes.groupBy("mark").agg(F.min("node").alias("a"), F.count("*").alias("n")))
     links = join_hot(nodes.select("node", "mark"), groups.filter("n > 1"), "mark").select("a", F.col("node").alias("b"))
@@ -197,7 +197,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     fits = (F.col("n") == F.col("_n")) & F.col("group").between(F.col("_first"), F.col("_end") - 1) & F.col("nth").between(F.col("_from"), F.col("_until") - 1)
     start = each.join(F.broadcast(plan) if len(places) <= BROADCAST_KEYS else plan, fits).select("node", "shard")
     placed = nodes.join(propagate(start, links, shards, rounds), "node")
-    return _numbered(placed, "shard", ["node"], "slot", max(4, buckets // 8)).drop("node")
+    return _numbered(placed, "shard", ["node"], "slot", max(64, buckets // 8)).drop("node")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
