@@ -55,7 +55,7 @@ def sweep(spark: SparkSession) -> None:
 
 
 #: Tables that are written before the ones that nothing needs any more are swept away.
-SWEEP_EVERY = 4
+SWEEP_EVERY = 2
 _written = itertools.count(1)
 
 

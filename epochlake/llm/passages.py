@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, join_hot, mix64, persist, shingle_hashes, slices, texts_of, tidy
+from .common import WordHashes, join_hot, mix64, persist, shingle_hashes, slices, sweep, texts_of, tidy
 from .pairs import paired_texts
 
 #: Words of a passage, words in a shingle, least similarity, and hash functions.
@@ -327,13 +327,14 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shingle: int = SH
     found = persist(rows.select("doc_id", "key"))
     classes = persist(found.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")))
     copies = classes.filter("n > 1").select("key", "copy_of")
-    few = copies.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else lambda x: x
+    small = F.broadcast if copies.count() <= BROADCAST_ROWS else lambda x: x
     # of equal texts only the first is searched; rows without an id can't be told apart and are all searched
-    mine = small(copies.filter("copy_of is not null").withColumnRenamed("key", "_key"))
-    firsts = rows.join(mine, (F.col("key") == F.col("_key")) & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("copy_of"))), "left_anti").select("key", "text")
+    known = small(copies.filter("copy_of is not null").withColumnRenamed("key", "_key"))
+    firsts = rows.join(known, (F.col("key") == F.col("_key")) & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("copy_of"))), "left_anti").select("key", "text")
     pairs = persist(shared_windows(firsts, passage, shingle, hashes).groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
+    sweep(docs.sparkSession)  # the windows' shuffle, the largest, before texts are dealt
     spans = persist(verified_spans(firsts, pairs, passage, shingle, similarity))
+    sweep(docs.sparkSession)
     # a text's spans: at most one for each of its words, whatever number of others they were verified against
     smallest = classes.select(F.col("key").alias("other"), F.col("copy_of").alias("other_id"))
     spans = persist(join_hot(spans, smallest, "other").groupBy("text", "start").agg(F.max("end").alias("end"), F.min("other_id").alias("other_id")))
@@ -341,8 +342,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, shingle: int = SH
     upto = Window.partitionBy("text").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     islands = spans.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(upto))
     islands = islands.groupBy("text", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_id").alias("other"))
-    mine = F.sort_array(F.collect_list(F.struct("start", "end", "other")))
-    partial = islands.groupBy(F.col("text").alias("key")).agg(mine.alias("passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_words"))
+    listed = F.sort_array(F.collect_list(F.struct("start", "end", "other")))
+    partial = islands.groupBy(F.col("text").alias("key")).agg(listed.alias("passages"), F.sum(F.col("end") - F.col("start")).alias("repeated_words"))
     sizes = firsts.join(small(copies.select("key")), "key", "left_semi").groupBy("key").agg(F.max(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).cast("long").alias("n_words")).filter(F.col("n_words") >= passage)
     whole = classes.join(sizes, "key").select("key", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("copy_of").alias("other"))).alias("passages"), F.col("n_words").alias("repeated_words"))
     every = persist(whole.unionByName(partial.join(whole, "key", "left_anti")).join(classes, "key").select("key", "copy_of", "n", "passages", "repeated_words"))
