@@ -189,9 +189,9 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return label_groups(found, nodes, fingerprint_links(nodes.select("fp"), radius, blocks))
 
 
-def label_groups(found: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+def label_groups(found: DataFrame, nodes: DataFrame, links: DataFrame, driver_edges: int = 0) -> DataFrame:
     """found(doc_id, fp) with component_id: the smallest `least` of nodes(fp, least) that chains of links(a, b) of fps reach."""
-    linked = persist(nodes.join(components(links).withColumnRenamed("node", "fp"), "fp"))
+    linked = persist(nodes.join(components(links, driver_edges=driver_edges).withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     within = join_hot(linked, least, "component").select("fp", "component_id")
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
