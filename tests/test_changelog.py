@@ -129,3 +129,14 @@ def test_blob_collection(spark):
     assert ids(blobs.available(found, found.filter("blob_id <> 1003"), 2002)) == [1001, 1002, 2001]
     released, left = blobs.settle_pool(found.filter("blob_id > 2000"), found.filter("blob_id < 2002"))
     assert (ids(released), ids(left)) == ([2002, 9999], [1001, 1002, 1003])
+
+
+@pytest.mark.parametrize("kinds", [("normal_entry", "remove_entry"), ("normal_entry", "normal_entry")])
+def test_equal_versions_without_places_do_not_depend_on_the_order_of_rows(spark, kinds):
+    rows = [(1, 7, 5, 5, 2, kinds[0], 10.0), (1, 7, 5, 5, 2, kinds[1], 20.0), (1, 7, 5, 5, 1, "normal_entry", 90.0)]
+    schema = "storage_id long, key long, snippet_epoch long, major long, minor long, entry_type string, value double"
+    for given in (rows, rows[::-1]):
+        log = spark.createDataFrame(given, schema).coalesce(1)
+        for newest in (changelog.latest(log), changelog.latest_by_window(log)):
+            assert [(r.entry_type, r.value) for r in newest.collect()] == [(kinds[1], 20.0)]
+        assert changelog.snapshots_at(log, [5]).count() == (kinds[1] == "normal_entry")
