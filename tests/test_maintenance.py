@@ -178,3 +178,37 @@ def test_blob_files_and_tags(spark, tmp_path):
     with pytest.raises(ValueError):
         maintenance.advance((1, 2), (1, 1))
     assert issubclass(DamagedLog, Exception)
+
+
+def test_listing_and_deleting_objects_takes_no_more_tasks_for_more_of_them(spark, tmp_path):
+    from epochlake.sources.blob_store import stored_files
+
+    assert stored_files(spark, str(tmp_path / "none")).count() == 0
+    for i in range(300):
+        p = tmp_path / f"dir_{i % 3:02d}" / f"{i * 100 + i % 3:016x}.blob"
+        p.parent.mkdir(exist_ok=True)
+        p.write_bytes(b"" if i == 5 else b"x")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / f"{1:016x}.blob").write_bytes(b"x")
+    found = blobs.blob_files(stored_files(spark, str(tmp_path)))
+    assert found.rdd.getNumPartitions() <= 3 and sorted(r.blob_id for r in found.collect()) == [i * 100 + i % 3 for i in range(300)]
+    path = os.path.join(str(tmp_path), "log")
+    set_up(path, "x-manifest.json")
+    open(os.path.join(path, "pwal_0000"), "wb").write(begin(1) + put(b"a", b"1", major=1, blobs=[0, 10_000_000]))
+    assert maintenance.compact_online(spark, path, 1, now=1, boundary=(1, 0), blob_root=str(tmp_path))
+    assert [r.blob_id for r in found.collect()] == [0]  # the empty one went, too
+
+
+def test_a_log_is_written_from_arrow_batches(spark, tmp_path):
+    from pyspark.sql.datasource import DataSourceArrowWriter
+
+    from epochlake.schema import CHANGE_LOG
+    from epochlake.sources.wal import LogWriter
+
+    assert issubclass(LogWriter, DataSourceArrowWriter)
+    register(spark)
+    row = ("x", 0, 0, -1, "valid", "normal_with_blob", -2, bytearray(b"k"), -3, None, None, [1, -4])
+    gone = ("x", 1, 0, -1, "valid", "clear_storage", 5, None, 6, 7, None, None)
+    spark.createDataFrame([row, gone], CHANGE_LOG).coalesce(1).write.format("epochlog").mode("append").save(str(tmp_path))
+    got = read_log(spark, str(tmp_path)).drop("file", "offset", "snippet_no").orderBy("entry_type").collect()
+    assert [tuple(r) for r in got] == [(-1, "valid", "clear_storage", 5, None, 6, 7, None, []), (-1, "valid", "normal_with_blob", -2, b"k", -3, 0, b"", [1, -4])]

@@ -100,3 +100,38 @@ def test_durable_epoch():
     for bad in (durable_file(1)[:5], begin(1)):
         with pytest.raises(DamagedLog):
             last_durable(bad)
+
+
+def test_the_fast_loop_reads_what_scan_reads_and_stops_where_records_are_not_sound():
+    from epochlake.functions.versions import signed
+    from epochlake.schema import POINTS, PUTS
+    from epochlake.sources.wal_format import Scan, entry, sound_entries
+
+    far = (1 << 64) - 1
+    mixed = begin(1) + put(b"", b"") + entry("remove_entry", far, b"k", far, 1 << 63) + end(1) + begin(far) + put(blobs=[1, far]) + invalid(3) + entry("clear_storage", 9, major=2) + begin(0x101) + put(b"x" * 300, b"") + end(0x101)
+    rng = random.Random(3)
+    files = [*FILES.values(), mixed, *[mixed[:n] for n in range(len(mixed))], *[bytes(b if rng.random() > 0.01 else rng.randrange(12) for b in mixed) for _ in range(500)]]
+    stopped = 0
+    for data in files:
+        want = [(r.offset, n, signed(e), state, r.kind, signed(r.storage_id), r.key if r.kind in POINTS else None, signed(r.major), signed(r.minor), r.value if r.kind in PUTS else None, [signed(b) for b in r.blob_ids]) for r, n, e, state in Scan(data, 0x100).entries()]
+        got, odd = [], None
+        for part in sound_entries(data, 0x100, 3):
+            if isinstance(part, int):
+                odd = part
+            else:
+                got += [(*row[:-1], list(row[-1])) for row in zip(*part, strict=True)]
+        assert got == [w for w in want if odd is None or w[0] < odd]
+        if odd is None:
+            scan = Scan(data, 0x100)
+            assert len(got) == sum(1 for _ in scan.entries()) and all(f.kind == "nondurable" for f in scan.findings)
+        stopped += odd is not None
+    assert 0 < stopped < len(files)
+
+
+def test_decode_goes_on_behind_the_first_odd_record():
+    from epochlake.sources.wal import decode
+
+    data = begin(1) + E + end(1) + E + begin(2) + put(b"b") + begin(0x101) + put(b"c")
+    rows = lambda **options: [(r["key"], r["snippet_epoch"]) for b in decode("pwal_0000", data, 0x100, on_damage="skip", **options) for r in b.to_pylist()]
+    assert rows() == [(b"1234", 1), (b"b", 2), (b"c", 0x101)]
+    assert rows(on_nondurable="skip") == rows(most_epoch=0x100) == rows()[:2]
