@@ -104,7 +104,8 @@ def recover(spark: SparkSession, path: str, manifest_name: str | None = None, ep
     else:
         rows = changelog.snapshot(log, durable)
         kept = blobs.referenced(changelog.latest(changelog.durable(log, durable)))
-    most = log.agg(F.greatest(F.coalesce(F.max("snippet_epoch"), F.lit(0)), F.lit(durable)).alias("e"), F.max(F.array_max("blob_ids")).alias("b")).first()
+    ends = read_log(spark, path, durable, files=delta, columns=["snippet_epoch", "blob_ids"])
+    most = ends.agg(F.greatest(F.coalesce(F.max("snippet_epoch"), F.lit(0)), F.lit(durable)).alias("e"), F.max(F.array_max("blob_ids")).alias("b")).first()
     return Recovered(rows, kept, durable, most.e, max(known, most.b or 0))
 
 

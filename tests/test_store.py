@@ -89,3 +89,15 @@ def test_a_replica_follows_the_store(spark, tmp_path, wait):
         s.settle()
     assert s.replica is None and s.snapshot().count() == 5 and replica.committed() == 3
     s.shutdown()
+
+
+def test_a_write_is_dealt_to_all_files_even_of_one_storage(spark, tmp_path):
+    import os
+
+    s = Store(spark, Configuration(str(tmp_path / "log"), parallelism=4))
+    s.ready()
+    s.write(change_log(spark, [(0, 1 + k // 100, "put", 1, f"k{k % 100}", f"v{k}", (k, 0)) for k in range(300)]))
+    sizes = [os.path.getsize(tmp_path / "log" / n) for n in os.listdir(tmp_path / "log") if n.startswith("pwal_")]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    assert pairs(s.snapshot()) == {f"1/k{k}": f"v{k + 200}" for k in range(100)}
+    s.shutdown()
